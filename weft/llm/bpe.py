@@ -25,9 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from weft.llm.arrow import as_bytes, key_and_text, map_batches, slices
-from weft.llm.tokenize import SPACE, CachedEncoder, read_vocabulary
+from weft.llm.tokenize import CACHE_PIECES, PARTS, CachedEncoder, byte_letters, read_vocabulary
 
-_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _NEVER = 1 << 60
 #: Remembered compatibility tests; forgotten all at once when full.
 SEAMS = 1_000_000
@@ -35,18 +34,10 @@ SEAMS = 1_000_000
 _CODERS: dict[str, PrefixCoder] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves and number the others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {chr(x): x for x in plain}
-    letters |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(plain))}
-    return letters
-
-
 class PrefixCoder(CachedEncoder):
     """Exact ids of a byte-level BPE vocabulary without a merge loop, and texts of ids."""
 
-    def __init__(self, vocabulary: str, pieces: int = 400_000):
+    def __init__(self, vocabulary: str, pieces: int = CACHE_PIECES):
         import ahocorasick
 
         settings = json.loads(vocabulary)
@@ -76,8 +67,9 @@ class PrefixCoder(CachedEncoder):
         self.added = {x["content"]: x["id"] for x in added}
         self.texts |= {x["id"]: x["content"].encode() for x in added}
         self.cut_at = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")") if self.added else None
-        self.special, self.words_only = [], False
-        self.half, self.new, self.old = max(1, pieces // 2), {}, {}
+        self.special, self.words_only, self.lower = [x.encode() for x in self.added], False, False
+        self.parts = regex.compile(PARTS)
+        self._remember(pieces)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank that uses it up) from the whole token down. side 0: right spine, 1: left spine."""
@@ -138,28 +130,17 @@ class PrefixCoder(CachedEncoder):
             end -= len(self.texts[token])
         return out[::-1]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        known: dict[str, list[int]] = {}
-        found = {}
-        for text in missing:
-            ids: list[int] = []
-            for x in _PATTERN.findall(text):
-                own = known.get(x)
-                if own is None:
-                    own = known[x] = self.piece(x.encode())
-                ids += own
-            found[text] = np.array(ids, dtype="<u4").tobytes()
-        return found
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. The strings of added tokens become those tokens."""
-        marked = [i for i, x in enumerate(texts) if any(a.encode() in x for a in self.added)]
-        out = super().encode([b"" if i in {*marked} else x for i, x in enumerate(texts)] if marked else texts)
-        for i in marked:
-            parts = self.cut_at.split(texts[i].decode())
-            plain = super().encode([x.encode() for x in parts[::2]])
-            out[i] = b"".join(x + self.added[a].to_bytes(4, "little") for x, a in zip(plain, parts[1::2], strict=False)) + plain[-1]
-        return out
+    def _part(self, part: str) -> bytes:
+        return np.array(self.piece(part.encode()), dtype="<u4").tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        return self._split(piece)
+
+    def _whole(self, text: bytes) -> bytes:
+        """The strings of added tokens become those tokens, what stands between is encoded by itself."""
+        parts = self.cut_at.split(text.decode())
+        plain = self.encode([x.encode() for x in parts[::2]])
+        return b"".join(x + self.added[a].to_bytes(4, "little") for x, a in zip(plain, parts[1::2], strict=False)) + plain[-1]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")

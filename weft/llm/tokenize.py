@@ -2,9 +2,11 @@
 
 The library spends most of its time on text that it has seen before. A text is cut where no
 token can cross (before white space that follows something else), each distinct piece is
-encoded by the library once per worker, and a text's ids are the pieces' ids in order. The
-ids are those of encoding the whole text, since both vocabularies split there before they
-merge anything; a text that holds the string of a special token goes to the library whole.
+encoded once per worker, and a text's ids are the pieces' ids in order. The ids are those of
+encoding the whole text, since both kinds of vocabulary split there before they merge anything.
+A piece of Latin letters is split further by the vocabulary's own pattern, and the library's
+model encodes each distinct part; any other piece goes through the whole library. A text that
+holds the string of a special token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ import os
 import re
 
 import numpy as np
+import regex
 
 #: White space as the vocabularies' own patterns define it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Pieces that a worker remembers: two halves, the older one goes when the newer one is full.
-CACHE_PIECES = 400_000
+#: The pattern of byte-level vocabularies that name none.
+PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Below this character, normal forms and letter classes are the same in every version of Unicode.
+_LATIN = re.compile("[\x00-ɏ]*")
+#: Pieces that a worker remembers: two halves, the older one goes when the newer one is full. As many parts.
+CACHE_PIECES = 600_000
 #: Longer pieces are rare and are encoded without being remembered.
 LONGEST_CACHED = 64
 
@@ -33,6 +40,30 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and number the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {chr(x): x for x in plain}
+    letters |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(plain))}
+    return letters
+
+
+class _Memory(dict):
+    """Pieces to ids; a piece that is not there is looked up among the older ones, then learned."""
+
+    def __init__(self, learn, older: dict):
+        super().__init__()
+        self.learn, self.older = learn, older
+
+    def __missing__(self, piece):
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = ids
+        return ids
+
+
 class CachedEncoder:
     """Text to ids, as little-endian unsigned 32-bit integers."""
 
@@ -43,50 +74,68 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         settings = json.loads(vocabulary)
-        self.special = [x["content"] for x in settings.get("added_tokens") or []]
-        # Where white space only separates (it is matched by no token), any of it parts the words.
+        self.special = [x["content"].encode() for x in settings.get("added_tokens") or []]
+        before, normal = settings.get("pre_tokenizer") or {}, settings.get("normalizer") or {}
+        steps, forms = before.get("pretokenizers") or [before], [x.get("type") for x in normal.get("normalizers") or ([normal] if normal else [])]
+        # where the pattern leaves white space out, any of it parts the words
         self.words_only = (settings.get("model") or {}).get("end_of_word_suffix") is not None
-        self.half = max(1, pieces // 2)
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def _learn(self, missing: list) -> dict:
-        texts = [x.decode() for x in missing] if self.words_only else missing
-        found = {}
-        for at in range(0, len(texts), 8192):
-            for piece, x in zip(missing[at : at + 8192], self.tokenizer.encode_batch_fast(texts[at : at + 8192], add_special_tokens=False), strict=True):
-                found[piece] = np.array(x.ids, dtype="<u4").tobytes()
-        return found
+        self.lower = "Lowercase" in forms
+        if [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and self.words_only:
+            self.parts = regex.compile(steps[0]["pattern"]["Regex"])
+        elif [s.get("type") for s in steps] == ["ByteLevel"] and steps[0].get("use_regex", True) and not forms:
+            self.parts = regex.compile(PARTS)
+        else:
+            raise ValueError("neither a byte-level vocabulary nor one of words and byte-level letters")
+        if steps[-1].get("add_prefix_space") or not {*forms} <= {"NFC", "Replace", "Lowercase"}:
+            raise ValueError("a vocabulary whose texts cannot be cut at white space")
+        self.letters = {x: c for c, x in byte_letters().items()}
+        self._remember(pieces)
 
-    def _cut(self, text: bytes) -> list:
-        return text.split() if self.words_only else _PIECES.findall(text.decode())
+    def _remember(self, pieces: int) -> None:
+        self.half = max(1, pieces // 2)
+        self.memory = _Memory(self._learn, {})
+        self.known: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        return np.array([x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+
+    def _learn(self, piece: str | bytes) -> bytes:
+        text = piece.decode() if isinstance(piece, bytes) else piece
+        if not _LATIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.lower:
+            text = text.lower() if text.isascii() else "".join(map(str.lower, text))
+        return self._split(text)
+
+    def _split(self, text: str) -> bytes:
+        known, out = self.known, []
+        for part in self.parts.findall(text):
+            ids = known.get(part)
+            if ids is None:
+                ids = self._part(part)
+                if len(part) <= LONGEST_CACHED:
+                    if len(known) >= 2 * self.half:
+                        known.clear()
+                    known[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        whole = {i for i, x in enumerate(texts) if any(s.encode() in x for s in self.special)}
-        cut = [[] if i in whole else self._cut(x) for i, x in enumerate(texts)]
-        fresh: dict = {}
-        new, old = self.new, self.old
-        for pieces in cut:
-            for piece in {*pieces}.difference(new):
-                ids = old.get(piece)
-                if ids is None:
-                    fresh[piece] = b""
-                else:
-                    new[piece] = ids
-        if fresh:
-            learnt = self._learn(list(fresh))
-            long = {k: v for k, v in learnt.items() if len(k) > LONGEST_CACHED}
-            new.update(learnt)
-        else:
-            long = {}
-        out = [b"".join(map(new.__getitem__, pieces)) for pieces in cut]
-        for k in long:
-            del new[k]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(new) >= self.half:
-            self.old, self.new = new, {}
+        out = []
+        for text in texts:
+            low = text.lower() if self.lower else text
+            if any(s in low for s in self.special):
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(map(self.memory.__getitem__, low.split() if self.words_only else _PIECES.findall(text.decode()))))
+            if len(self.memory) >= self.half:
+                self.memory = _Memory(self._learn, dict(self.memory))
         return out
 
 
