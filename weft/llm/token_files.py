@@ -5,7 +5,7 @@ that the vocabulary needs (2 or 4 bytes), the keys, and the ends of its document
 array as an Elias-Fano sequence: n ends below u take about 2 + log2(u / n) bits each. The low
 bits are packed; the high parts are a bit vector in which the i-th one stands at (high + i),
 and select(i) finds it through a count kept for each block of 512 bits. Offsets are thus read
-without a table of 64-bit numbers. Shards know how many ids and documents come before them.
+without a table of 64-bit numbers. A shard knows how many ids of its own part come before it.
 
 The table is written by Spark, so that any file system that Spark writes to will do, and a
 task that is lost or repeated leaves no half shard.
@@ -90,8 +90,8 @@ class EliasFano:
         return out
 
 
-SHARDS = "part int, shard int, documents long, ids long, id_bytes int, top long, low_bits int, low binary, high binary, ranks binary, keys binary, no_key long, payload binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
+SHARDS = "part int, shard int, ids_before long, documents long, ids long, id_bytes int, top long, low_bits int, low binary, high binary, ranks binary, keys binary, no_key long, payload binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
 
 
 def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None = 2, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> None:
@@ -113,11 +113,11 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
         width = 2 if max(coder.tokenizer.get_vocab_size(), (end or 0) + 1) <= 1 << 16 else 4
         held: list[np.ndarray] = []
         keys: list[int] = []
-        shard = size = none = 0
+        shard = size = none = before = 0
 
         def close():
             ends = EliasFano.encode(np.cumsum([len(x) for x in held]))
-            row = (part, shard, len(held), size, width, ends.top, ends.low_bits, ends.low, ends.high, ends.ranks, np.array(keys, dtype="<i8").tobytes(), none, b"".join(x.tobytes() for x in held))
+            row = (part, shard, before, len(held), size, width, ends.top, ends.low_bits, ends.low, ends.high, ends.ranks, np.array(keys, dtype="<i8").tobytes(), none, b"".join(x.tobytes() for x in held))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
@@ -130,7 +130,7 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
                     size += len(held[-1])
                     if size >= shard_ids:
                         yield close()
-                        held, keys, size, none, shard = [], [], 0, 0, shard + 1
+                        held, keys, size, none, shard, before = [], [], 0, 0, shard + 1, before + size
         if held:
             yield close()
 
@@ -143,11 +143,9 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids): one row per document, read from the shards."""
     shards = spark.read.parquet(path)
-    # one row per task that wrote, then one per shard of such a task: neither grows with the rows
-    parts = shards.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inner = shards.select("part", "shard", "ids").withColumn("inner", F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = inner.join(parts, "part").select("part", "shard", (F.col("before") + F.col("inner")).alias("base"))
-    placed = shards.join(starts, ["part", "shard"]).select("base", "documents", "id_bytes", "top", "low_bits", "low", "high", "ranks", "keys", "no_key", "payload")
+    # one row per task that wrote: bounded by the number of partitions, and so broadcast; the payloads are not shuffled
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = shards.join(F.broadcast(parts.select("part", "before")), "part").select((F.col("before") + F.col("ids_before")).alias("base"), "documents", "id_bytes", "top", "low_bits", "low", "high", "ranks", "keys", "no_key", "payload")
 
     def run(batches):
         for batch in batches:
