@@ -87,8 +87,8 @@ def losses(text: bytes, target: np.ndarray, background: np.ndarray, totals: tupl
     at = np.concatenate([word, before, pair])
     _, back, held = np.unique(at, return_inverse=True, return_counts=True)
     held = held[back].reshape(3, n)
-    counts_b = background[at].reshape(3, n) - held
-    counts_t = target[at].reshape(3, n)
+    counts_b = background[at].reshape(3, n).astype(np.float64) - held
+    counts_t = target[at].reshape(3, n).astype(np.float64)
 
     def mean(counts, total, scale):
         c = counts * scale
