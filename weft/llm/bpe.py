@@ -174,12 +174,13 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFr
     """The columns of ``encoded`` and ``decoded``, the text of its ids (null ids: empty). A column of that name is replaced."""
     shipped = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     plain = encoded.drop("decoded")
-    at = plain.columns.index(ids)
+    names = plain.columns
+    at = names.index(ids)
 
     def run(batches):
         own = coder(shipped.value)
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([own.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())], names=[*plain.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([own.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())], names=[*names, "decoded"])
 
     return map_batches(plain, run, ", ".join(f"`{n}` {t}" for n, t in plain.dtypes) + ", decoded string")
 
