@@ -322,7 +322,7 @@ def slice_index(s, d):
     return _t(s, d)[:, :, 3].df
 
 
-@query(f"SELECT i AS i0, j AS i1, CASE WHEN i >= 2 AND i < 4 THEN 7.0 ELSE v END AS v FROM {W} WHERE NOT (i >= 2 AND i < 4 AND j < 5) OR FALSE UNION ALL SELECT i, j, 7.0 FROM {GRID} WHERE i >= 2 AND i < 4 AND j < 5".replace("CASE WHEN i >= 2 AND i < 4 THEN 7.0 ELSE v END AS v", "v"))
+@query(f"SELECT i AS i0, j AS i1, v FROM {W} WHERE NOT (i >= 2 AND i < 4 AND j < 5) UNION ALL SELECT i, j, 7.0 FROM {GRID} WHERE i >= 2 AND i < 4 AND j < 5")
 def view_assign(s, d):
     return _w(s, d).assign((slice(2, 4), slice(0, 5)), 7.0).df
 
