@@ -155,7 +155,7 @@ class Contraction:
 
 def cheapest_pair(terms: Sequence[Labels], out: Labels, dims: dict[str, int]) -> tuple[int, int]:
     """Greedy path: the pair whose result is smallest against what it uses up."""
-    best: tuple[float, tuple[int, int]] | None = None
+    best: tuple[tuple[float, float], tuple[int, int]] | None = None
     for i in range(len(terms)):
         for j in range(i + 1, len(terms)):
             rest = set(out).union(*(t for k, t in enumerate(terms) if k not in (i, j)))
@@ -164,8 +164,9 @@ def cheapest_pair(terms: Sequence[Labels], out: Labels, dims: dict[str, int]) ->
             for x in kept:
                 size *= dims[x]
             used = sum(float(_volume(terms[k], dims)) for k in (i, j))
-            if best is None or size - used < best[0]:
-                best = (size - used, (i, j))
+            cost = (size - used, float(_volume((*terms[i], *terms[j]), dims)))  # of equal gains, the one with fewer products
+            if best is None or cost < best[0]:
+                best = (cost, (i, j))
     assert best
     return best[1]
 
