@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -223,6 +224,20 @@ def einsum_batched_dot(s, d):
     return _rounded(batched(Plan("", "ik", "ik"), e, e).df)
 
 
+@query(f"SELECT a.i AS i0, sum(a.v * x.v) AS v FROM {A} a JOIN {X} x USING (k) GROUP BY 1")
+def stream_gemv(s, d):
+    """The rows arrive as a stream; sums are kept as state until all that is there has been read."""
+    from weft.streaming.contraction import contract_stream
+
+    static = src.table(s, d, "lineitem")
+    rows = s.readStream.schema(static.schema).parquet(f"{d}/lineitem.parq*")
+    changes = rows.select(F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1"), F.col("l_quantity").alias("v"))
+    name = f"stream_gemv_{uuid.uuid4().hex}"
+    started = contract_stream(changes, "ik", _x(s, d), "k", "i").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return s.table(name)
+
+
 # blocks and tiles
 
 
