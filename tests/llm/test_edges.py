@@ -286,6 +286,10 @@ def test_html(spark):
     body = "<div><p>" + "A paragraph of an article that no element marks, long enough to be one. " * 3 + "</p><p>And its second paragraph, which is shorter than that.</p></div>"
     plain = " ".join(["A paragraph of an article that no element marks, long enough to be one."] * 3) + " And its second paragraph, which is shorter than that."
     assert html_extract.main_text(PAGE % (body + "<div><a href=1>x</a> <a href=2>y</a></div>")) == plain
+    wrapped = "<div class='layout no-sidebar'><div class='sidebar-right'><article class='post has-comments'><div class='entry-header'><h1>Title</h1></div><p>Body text.</p></article><p>Aside</p></div></div>"
+    assert html_extract.main_text(PAGE % wrapped) == "Title Body text."
+    comments = "<div id='comments'><article><p>Reader one.</p></article></div><article class='comment'><p>Reader two.</p></article>"
+    assert html_extract.main_text(PAGE % (ARTICLE + comments)) == text
     rows = spark.createDataFrame([(1, "u", PAGE % ARTICLE, "z"), (2, None, None, "z"), (3, "u", "", "z"), (None, "u", "<p>open <b>text", "z"), (1, "u", PAGE % ARTICLE, "z"), (5, "u", "<article>" + "<p>word " * 20_000, "z"), (6, "u", "<div>" * 3000 + "deep", "z"), (7, "u", "<script>", "z")], "page_id long, url string, html string, text string")
     got = sorted((key(r.page_id), r.url, r.text, r.n_chars) for r in html_extract.extract(rows).select("page_id", F.coalesce("url", F.lit("")).alias("url"), "text", "n_chars").collect())
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, "", "", 0), (3, "u", "", 0), (-1, "u", "open text", 9), (5, "u", " ".join(["word"] * 20_000), 99_999), (6, "u", "deep", 4), (7, "u", "", 0)])

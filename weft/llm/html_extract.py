@@ -32,6 +32,10 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 NAMED = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|toolbar|pagination|pager|widget|copyright)(?:$|[-_\s])", re.I)
+#: Words that name a layout as often as a part of it: an article inside such an element is still one.
+LAYOUT = re.compile(r"(?:^|[-_\s])(?:nav|navbar|menu|header|masthead|footer|sidebar|aside|banner|search|share|social|ads?)(?:$|[-_\s])", re.I)
+#: What a class says that something has or lacks.
+HAS = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[-_]\S*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
@@ -40,14 +44,14 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, barred, in an article, container
-        self.lines: list[tuple[list[str], int, int, bool, bool]] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, barred (1: by a word of layout), in an article, container
+        self.lines: list[tuple[list[str], int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
         self.containers = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def _state(self) -> tuple[int, bool, int]:
+        return self.open[-1][1:] if self.open else (0, False, 0)
 
     def _close_line(self) -> None:
         if self.text or self.tags:
@@ -84,19 +88,24 @@ class Lines(HTMLParser):
         barred, article, container = self._state()
         inside = article
         article = article or tag in ("article", "main")
+        if barred == 1 and tag in ("article", "main"):
+            barred = 0
         if not barred:
-            barred = tag in NEVER and not (tag == "header" and article)
+            barred = 2 * (tag in NEVER and not (tag == "header" and article))
             for name, value in attrs:
-                if barred:
+                value = value or ""
+                if barred == 2:
                     break
                 if name in ("class", "id"):
-                    barred = bool(value) and tag not in ("body", "html", "main") and bool(NAMED.search(value))
-                elif name == "role":
-                    barred = (value or "").strip().lower() in ROLES
-                elif name == "hidden" or (name == "aria-hidden" and (value or "").strip().lower() == "true"):
-                    barred = True
-                elif name == "style":
-                    barred = "display:none" in (value or "").replace(" ", "").lower()
+                    words = HAS.sub(" ", value)
+                    if tag in ("body", "html", "main") or not NAMED.search(words):
+                        continue
+                    layout = not NAMED.search(LAYOUT.sub(" ", words))
+                    # an article's own header has its title; an article is not made a sidebar by a word
+                    if not layout or not (tag == "article" or (inside and "header" in words.lower())):
+                        barred = max(barred, 1 if layout else 2)
+                elif (name == "role" and value.strip().lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+                    barred = 2
         if tag in CONTAINERS and not inside:  # an article is one region, however it is divided
             self.containers += 1
             container = self.containers
