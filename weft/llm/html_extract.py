@@ -33,7 +33,7 @@ SCOPES = frozenset("article aside body div dl footer form header html main nav o
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 NAMED = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|toolbar|pagination|pager|widget|copyright)(?:$|[-_\s])", re.I)
 #: Words that name a layout as often as a part of it: an article inside such an element is still one.
-LAYOUT = re.compile(r"(?:^|[-_\s])(?:nav|navbar|menu|header|masthead|footer|sidebar|aside|banner|search|share|social|ads?)(?:$|[-_\s])", re.I)
+LAYOUT = re.compile(r"(?:^|[-_\s])(?:nav|navbar|menu|header|masthead|footer|sidebar|aside|banner|search|share|social)(?=$|[-_\s])", re.I)
 #: What a class says that something has or lacks.
 HAS = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[-_]\S*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
