@@ -113,7 +113,8 @@ def score(documents: DataFrame, target_ids: DataFrame, how: Bigrams = Bigrams(),
     """
     plain = key_and_text(documents, key, text)
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    counts = count(plain.join(wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), how)
+    # ids are dealt to the texts by a shuffle at every size: the plan, and what it needs, does not turn where the ids stop fitting a broadcast
+    counts = count(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), how)
     totals = (int(counts[0, : how.words].sum()), int(counts[1, : how.words].sum()))
     shipped = documents.sparkSession.sparkContext.broadcast(counts.astype(np.float32 if counts.max(initial=0) < 1 << 24 else np.float64))
 
