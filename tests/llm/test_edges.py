@@ -273,6 +273,40 @@ def test_lm_scoring(spark):
     assert lm_scoring.score(frame(spark, {}), wanted, how).count() == 0
 
 
+def test_lm_scoring_exact_counts(spark):
+    """Words and pairs that share a slot of 2^18 or 2^20 are counted apart, over all documents."""
+    many = {100 + k: " ".join(f"w{(k * 7919 + j * j) % 30_000}" for j in range(600)) for k in range(60)}
+    texts = TEXTS | many
+    rows = lm_scoring.score(frame(spark, texts), spark.createDataFrame([(k,) for k in (1, 100, 107, 121, 121, 999)], "doc_id long")).collect()
+    target, how = {1, 100, 107, 121}, lm_scoring.Bigrams()
+    held = [(i, (x or "").encode().lower().split()) for i, x in pairs(texts)]
+    models = {True: [Counter(), Counter(), Counter()], False: [Counter(), Counter(), Counter()]}
+    grams = [(w, [None, *w[:-1]][: len(w)], list(zip([None, *w[:-1]], w, strict=False))) for _, w in held]
+    for (i, _), found in zip(held, grams, strict=True):
+        for into in [False, True][: 1 + (i in target)]:
+            for c, x in zip(models[into], found, strict=True):
+                c.update(x)
+    vocabulary = len(models[False][0])
+    assert vocabulary > 20_000
+
+    expected = []
+    for (i, w), found in zip(held, grams, strict=True):
+        own = [Counter(x) for x in found]
+
+        def loss(of, out, scale_to=None):
+            one, before, pair = ((lambda x, c=c, o=o: c[x] - (o[x] if out else 0)) for c, o in zip(models[of], own, strict=True))
+            total = models[of][0].total() - (len(w) if out else 0)
+            s = 1.0 if scale_to is None else max(scale_to, 1) / max(total, 1)
+            terms = [-np.log((pair(z) * s + how.prior * (one(x) * s + how.add) / (total * s + how.add * vocabulary)) / (before(y) * s + how.prior)) for x, y, z in zip(*found, strict=True)]
+            return float(np.mean(terms)) if terms else 0.0
+
+        size = models[True][0].total() - (len(w) if i in target else 0)
+        t, b = loss(True, i in target), loss(False, True, size)
+        expected.append((key(i), len(w), t, b, b - t))
+    for got, want in zip(sorted((key(r[0]), *r[1:]) for r in rows), sorted(expected), strict=True):
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="post-page">
 <header class="site-header"><h2>Site</h2></header><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 %s
