@@ -429,6 +429,14 @@ def test_rollup(spark):
     assert token_rollup.maintain(frame(spark, {}), new_path(spark, "r")).count() == 0
 
 
+def test_rollup_of_short_documents(spark):
+    """With ``back``, a key that holds only short texts stays, and every row counts."""
+    got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in token_rollup.maintain(frame(spark), new_path(spark, "r"), back=True).collect()}
+    assert sum(n for k, (n, _) in got.items() if k[2] == "words-1") == sum(n for k, (n, _) in got.items() if k[2] == "pieces-1") == len(pairs())
+    assert sum(n for k, (_, n) in got.items() if k[2] == "words-1") == sum(len((x or "").encode().split()) for _, x in pairs())
+    assert got[None, None, "words-1"] == (1, 1)
+
+
 def naive_rules(text, bands):
     raw = (text or "").encode()
     words = raw.split()

@@ -104,6 +104,16 @@ def test_rollup_query_against_sql(spark):
     assert {tuple(r) for r in queries()["op9_token_rollup"](spark, FOLDER).select("source", "lang", "tokenizer_version", "n_docs", "n_tokens").collect()} == expected
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_rollup_of_all_documents_against_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    expected = {tuple(r) for r in c.sql(oracle_sql()["op9_token_rollup_all"]).fetchall()}
+    got = queries()["op9_token_rollup_all"](spark, FOLDER).select("source", "lang", "tokenizer_version", "n_docs", "n_tokens").collect()
+    assert {tuple(r) for r in got} == expected
+    assert sum(r.n_docs for r in got if r.tokenizer_version == "words-1") == c.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_classifier_on_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}

@@ -55,6 +55,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(table(spark, sf_dir, "documents"), new_path(spark, "rollup"))
 
 
+def op9_token_rollup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents, short ones included."""
+    return token_rollup.maintain(table(spark, sf_dir, "documents"), new_path(spark, "rollup"), back=True)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -76,11 +81,16 @@ ORACLES = {
              LATERAL (SELECT 'words-1' AS tokenizer_version, 1 AS d, c.w AS n UNION ALL SELECT 'pieces-1', 1, c.p) t
         WHERE w >= 20
         GROUP BY source, lang, tokenizer_version""",
+    "op9_token_rollup_all": f"""
+        SELECT source, lang, tokenizer_version, CAST(sum(d) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+        FROM (SELECT source, lang, {_WORDS} AS w, {_PIECES} AS p FROM documents) c,
+             LATERAL (SELECT 'words-1' AS tokenizer_version, 1 AS d, c.w AS n UNION ALL SELECT 'pieces-1', 1, c.p) t
+        GROUP BY source, lang, tokenizer_version""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
+    return {**{f.__name__: f for f in (*OPERATORS, op9_token_rollup_all)}, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

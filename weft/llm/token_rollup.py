@@ -87,12 +87,13 @@ def by_rule(text: Column, rule: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(RULES[rule])), F.lit(0)).cast("long")
 
 
-def maintain(documents: DataFrame, path: str, short: int = 20) -> DataFrame:
+def maintain(documents: DataFrame, path: str, short: int = 20, back: bool = False) -> DataFrame:
     """Load a table, take short documents out, and put exact counts where estimates stood; each batch comes twice.
 
     Batches: ``load`` inserts every document under words-1 (exact) and pieces-1 (estimated as a
     fourth of its characters); ``short`` deletes the documents of fewer than ``short`` words under
-    both; ``exact`` revises the rest of pieces-1. Null sources and languages are keys of their own, a
+    both; ``exact`` revises the rest of pieces-1. With ``back`` a last batch of that name inserts the
+    short documents again, with exact counts: the totals then cover every row. Null sources and languages are keys of their own, a
     null text has no tokens, repeated rows count as often as they are there, an empty table gives
     no keys, and other columns are not read.
     """
@@ -113,6 +114,8 @@ def maintain(documents: DataFrame, path: str, short: int = 20) -> DataFrame:
         "short": deletes(under("words-1", "words", gone)).unionAll(deletes(under("pieces-1", "estimate", gone))),
         "exact": revisions(under("pieces-1", "pieces", rest, old_n_tokens="estimate")),
     }
+    if back:
+        batches["back"] = inserts(under("words-1", "words", gone)).unionAll(inserts(under("pieces-1", "pieces", gone)))
     for _ in range(2):
         for name, changes in batches.items():
             store.commit(name, changes)
