@@ -460,6 +460,20 @@ def naive_rules(text, bands):
     return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(x) for x in "#*$%&|<>"), dup, len(hit), failed, fine and not failed
 
 
+def test_rules_of_tails():
+    """A last chunk under 1024 bytes is judged: a repetitive or incompressible end does not pass in a clean text."""
+    bands, c, draw = quality_rules.Bands(), zstandard.ZstdCompressor(level=3), random.Random(5)
+    lexicon = ["".join(draw.choice("eeeettaaooinshrdlu") for _ in range(draw.randint(2, 9))) for _ in range(700)]
+    clean = " ".join(draw.choice(lexicon) for _ in range(4000)).encode()
+    assert quality_rules.measure(clean[:8192], bands, c)[-1] and quality_rules.measure(clean[:9192], bands, c)[-1]
+    noise = bytes(draw.randrange(33, 127) for _ in range(1000))
+    for tail in (b"again " * 167, noise):
+        text = clean[:8192] + tail[:1000]
+        *_, least, most, kept = quality_rules.measure(text, bands, c)
+        low, high = bands.of(1024)
+        assert not kept and (least < low or most > high)
+
+
 def test_rules(spark):
     draw = random.Random(2)
     lexicon = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(900)]

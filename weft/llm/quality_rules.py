@@ -40,7 +40,7 @@ class Bands:
         (16384, 0.26, 0.66),
     )
     chunk_bytes: int = 4096
-    #: A last chunk shorter than this is judged with the whole text only.
+    #: Where the last chunk is shorter than this, the last so many bytes of the text are judged in its place.
     least_chunk: int = 1024
     level: int = 3
     #: Words in a text below which nothing is judged, and share of repeated words, in percent, above which a text goes.
@@ -99,12 +99,11 @@ def measure(text: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) ->
     least = most = ratio
     if len(text) > bands.chunk_bytes:
         for at in range(0, len(text), bands.chunk_bytes):
-            chunk = text[at : at + bands.chunk_bytes]
-            if len(chunk) >= bands.least_chunk:
-                r = len(compressor.compress(chunk)) / len(chunk)
-                low, high = bands.of(len(chunk))
-                fine &= low <= r <= high
-                least, most = min(least, r), max(most, r)
+            chunk = text[min(at, len(text) - bands.least_chunk) : at + bands.chunk_bytes]
+            r = len(compressor.compress(chunk)) / len(chunk)
+            low, high = bands.of(len(chunk))
+            fine &= low <= r <= high
+            least, most = min(least, r), max(most, r)
     return n, len(solid.translate(None, _CONTINUATION)), len(solid) - len(solid.translate(None, SYMBOLS)), sum(lines.values()) - len(lines), repeated, failed, ratio, least, most, fine and not failed
 
 
