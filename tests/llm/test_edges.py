@@ -474,6 +474,25 @@ def test_rules_of_tails():
         assert not kept and (least < low or most > high)
 
 
+@pytest.mark.parametrize("n, words, letters", [(300, 6, 62), (600, 20, 62), (1024, 40, 62), (1600, 80, 62), (3000, 80, 26), (4096, 80, 26), (9000, 80, 26), (20_000, 80, 26)])
+def test_rules_of_bands(n, words, letters):
+    """Planted texts of each length: few words over and over, and random letters with spaces, go; prose of many words stays."""
+    bands, c, draw = quality_rules.Bands(), zstandard.ZstdCompressor(level=3), random.Random(7)
+
+    def text(lexicon):
+        return " ".join(draw.choice(lexicon) for _ in range(n)).encode()[:n]
+
+    def lexicon(alphabet, size):
+        return ["".join(draw.choice(alphabet) for _ in range(draw.randint(2, 9))) for _ in range(size)]
+
+    letter = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[:letters]
+    low, high = bands.of(n)
+    few, noise, prose = (quality_rules.measure(x, bands, c) for x in (text(lexicon("abcdefghijklmnopqrstuvwxyz", words)), "".join(" " if draw.random() < 0.15 else draw.choice(letter) for _ in range(n)).encode(), text(lexicon("eeeettaaooinshrdlu", 700))))
+    assert few[6] < low and not few[-1]
+    assert noise[6] > high and not noise[-1] and not noise[5]
+    assert low <= prose[6] <= high and prose[-1]
+
+
 def test_rules(spark):
     draw = random.Random(2)
     lexicon = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(900)]
