@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def sized(batches: Iterable[pa.RecordBatch], text: int, most: int = 1 << 22, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes of column ``text``: a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weft.llm.arrow import as_bytes, key_and_text, map_batches, slices
+from weft.llm.arrow import as_bytes, key_and_text, map_batches, sized, slices
 from weft.llm.tokenize import CACHE_PIECES, PARTS, CachedEncoder, byte_letters, read_vocabulary
 
 _NEVER = 1 << 60
@@ -133,8 +133,8 @@ class PrefixCoder(CachedEncoder):
     def _part(self, part: str) -> bytes:
         return np.array(self.piece(part.encode()), dtype="<u4").tobytes()
 
-    def _learn(self, piece: str) -> bytes:
-        return self._split(piece)
+    def _learn(self, piece: str | bytes) -> bytes:
+        return self._split(self._text(piece))
 
     def _whole(self, text: bytes) -> bytes:
         """The strings of added tokens become those tokens, what stands between is encoded by itself."""
@@ -163,7 +163,7 @@ def encode(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", text
 
     def run(batches):
         own = coder(shipped.value)
-        for part in slices(batches):
+        for part in sized(batches, 1):
             ids = own.encode(as_bytes(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -191,7 +191,7 @@ def digests(documents: DataFrame, vocabulary_path: str, key: str = "doc_id", tex
 
     def run(batches):
         own = coder(shipped.value)
-        for part in slices(batches):
+        for part in sized(batches, 1):
             ids = own.encode(as_bytes(part.column(1)))
             texts = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import as_bytes, key_and_text, map_batches, slices
+from weft.llm.arrow import as_bytes, key_and_text, map_batches, sized
 from weft.llm.storage import materialize
 from weft.llm.tokenize import encoder, read_vocabulary
 
@@ -96,7 +96,7 @@ def pieces(documents: DataFrame, vocabulary: str, length: int = 4096, end: int |
 
     def run(batches):
         encode = encoder(shipped.value).encode
-        for part in slices(batches):
+        for part in sized(batches, 1):
             rows: list[tuple] = []
             for doc, ids in zip(part.column(0).to_pylist(), encode(as_bytes(part.column(1))), strict=True):
                 ids += tail

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import as_bytes, key_and_text, map_batches
+from weft.llm.arrow import as_bytes, key_and_text, map_batches, sized
 from weft.llm.storage import new_path
 from weft.llm.tokenize import encoder, read_vocabulary
 
@@ -29,6 +29,8 @@ BLOCK = 512
 #: A shard is closed when it holds this many ids; a document is never split, so a longer one has a larger shard.
 SHARD_IDS = 4_000_000
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
+#: Place of the k-th one of a byte.
+_SELECT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], dtype=np.uint8)
 
 
 @dataclass(frozen=True)
@@ -56,27 +58,29 @@ class EliasFano:
         ranks = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else np.zeros(0)
         return EliasFano(n, top, l, np.packbits(lows.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), ranks.astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th number, from 0."""
-        if not 0 <= i < self.n:
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The i-th number, from 0; of an array of places, the numbers there. A block of ``high`` and ``low_bits`` bits are read for each."""
+        at = np.atleast_1d(np.asarray(i, dtype=np.int64))
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
             raise IndexError(i)
+        if not len(at):
+            return np.zeros(0, dtype=np.int64)
         ranks = np.frombuffer(self.ranks, dtype="<u4")
-        block = int(np.searchsorted(ranks, i, side="right")) - 1
-        seen = int(ranks[block])
-        high = np.frombuffer(self.high, dtype=np.uint8, count=BLOCK // 8, offset=block * BLOCK // 8)
-        counts = np.cumsum(_POPCOUNT[high])
-        byte = int(np.searchsorted(counts, i - seen, side="right"))
-        seen += int(counts[byte - 1]) if byte else 0
-        x, place = int(high[byte]), -1
-        for _ in range(i - seen + 1):
-            place = (x & -x).bit_length() - 1
-            x &= x - 1
-        low = 0
-        at = i * self.low_bits
+        block = np.searchsorted(ranks, at, side="right") - 1
+        bits = np.frombuffer(self.high, dtype=np.uint8).reshape(-1, BLOCK // 8)[block]
+        left = at - ranks[block].astype(np.int64)
+        counts = np.cumsum(_POPCOUNT[bits], axis=1, dtype=np.int32)
+        byte = (counts <= left[:, None]).sum(axis=1)
+        row = np.arange(len(at))
+        left -= np.where(byte > 0, counts[row, byte - 1], 0)
+        place = _SELECT[bits[row, byte], left].astype(np.int64)
+        out = block * BLOCK + byte * 8 + place - at << self.low_bits
         if self.low_bits:
-            first, last = at // 8, (at + self.low_bits - 1) // 8 + 1
-            low = int.from_bytes(self.low[first:last], "little") >> (at % 8) & ((1 << self.low_bits) - 1)
-        return (block * BLOCK + byte * 8 + place - i << self.low_bits) | low
+            low = np.frombuffer(self.low + b"\0", dtype=np.uint8)
+            for k in range(self.low_bits):
+                bit = at * self.low_bits + k
+                out |= (low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
+        return int(out[0]) if np.ndim(i) == 0 else out
 
     def decode(self) -> np.ndarray:
         """All numbers in order, in one sweep."""
@@ -103,7 +107,6 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
     """
     spark = documents.sparkSession
     shipped = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    tail = b"" if end is None else int(end).to_bytes(4, "little")
 
     def run(batches):
         from pyspark import TaskContext
@@ -112,26 +115,40 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
         coder = encoder(shipped.value)
         width = 2 if max(coder.tokenizer.get_vocab_size(), (end or 0) + 1) <= 1 << 16 else 4
         held: list[np.ndarray] = []
-        keys: list[int] = []
+        lengths: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
         shard = size = none = before = 0
 
         def close():
-            ends = EliasFano.encode(np.cumsum([len(x) for x in held]))
-            row = (part, shard, before, len(held), size, width, ends.top, ends.low_bits, ends.low, ends.high, ends.ranks, np.array(keys, dtype="<i8").tobytes(), none, b"".join(x.tobytes() for x in held))
+            ends = EliasFano.encode(np.cumsum(np.concatenate(lengths)))
+            row = (part, shard, before, ends.n, size, width, ends.top, ends.low_bits, ends.low, ends.high, ends.ranks, np.concatenate(keys).tobytes(), none, b"".join(x.tobytes() for x in held))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for k, ids in zip(some.column(0).to_pylist(), coder.encode(as_bytes(some.column(1))), strict=True):
-                    held.append(np.frombuffer(ids + tail, dtype="<u4").astype("<u2" if width == 2 else "<u4"))
-                    keys.append(0 if k is None else k)
-                    none += k is None  # null keys sort first: the first ``no_key`` of the shard
-                    size += len(held[-1])
-                    if size >= shard_ids:
-                        yield close()
-                        held, keys, size, none, shard, before = [], [], 0, 0, shard + 1, before + size
-        if held:
+        for some in sized(batches, 1):
+            ids, ends = coder.arrays(as_bytes(some.column(1)))
+            if end is None:
+                ids = ids.astype(f"<u{width}")
+            else:
+                ends = ends + 1 + np.arange(len(ends))
+                ids, found = np.full(ends[-1], end, dtype=f"<u{width}"), ids
+                own = np.ones(len(ids), dtype=bool)
+                own[ends - 1] = False
+                ids[own] = found
+            nulls = some.column(0).is_null().to_numpy(zero_copy_only=False)
+            numbers = some.column(0).fill_null(0).to_numpy().astype("<i8")
+            at = taken = 0
+            while at < len(ends):  # as many documents as the shard still holds: the one that fills it closes it
+                stop = min(len(ends), int(np.searchsorted(ends, taken + shard_ids - size)) + 1)
+                held.append(ids[taken : ends[stop - 1]])
+                lengths.append(np.diff(ends[at:stop], prepend=taken))
+                keys.append(numbers[at:stop])
+                none += int(nulls[at:stop].sum())  # null keys sort first: the first ``no_key`` of the shard
+                size += len(held[-1])
+                at, taken = stop, int(ends[stop - 1])
+                if size >= shard_ids:
+                    yield close()
+                    held, lengths, keys, size, none, shard, before = [], [], [], 0, 0, shard + 1, before + size
+        if keys:
             yield close()
 
     plain = key_and_text(documents, key, text)
@@ -150,14 +167,15 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
-                ends = EliasFano(row["documents"], row["top"], row["low_bits"], row["low"], row["high"], row["ranks"]).decode()
-                begins = np.concatenate([[0], ends[:-1]])
+                offsets = EliasFano(row["documents"], row["top"], row["low_bits"], row["low"], row["high"], row["ranks"])
                 ids = np.frombuffer(row["payload"], dtype="<u2" if row["id_bytes"] == 2 else "<u4")
                 keys = np.frombuffer(row["keys"], dtype="<i8")
-                for at in range(0, len(ends), 4096):
+                for at in range(0, offsets.n, 4096):
                     span = slice(at, at + 4096)
-                    own = [ids[b:e].astype("<u4").tobytes() for b, e in zip(begins[span], ends[span], strict=True)]
-                    out = [pa.array(keys[span], mask=np.arange(at, at + len(own)) < row["no_key"]), pa.array(row["base"] + begins[span]), pa.array(ends[span] - begins[span]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    ends = offsets.select(np.arange(at, min(at + 4096, offsets.n)))
+                    begins = np.concatenate([[offsets.select(at - 1) if at else 0], ends[:-1]])
+                    own = [ids[b:e].astype("<u4").tobytes() for b, e in zip(begins, ends, strict=True)]
+                    out = [pa.array(keys[span], mask=np.arange(at, at + len(own)) < row["no_key"]), pa.array(row["base"] + begins), pa.array(ends - begins), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     yield pa.RecordBatch.from_arrays(out + ([pa.array(own, pa.binary())] if with_ids else []), names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     return map_batches(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

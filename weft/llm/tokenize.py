@@ -4,6 +4,8 @@ The library spends most of its time on text that it has seen before. A text is c
 token can cross (before white space that follows something else), each distinct piece is
 encoded once per worker, and a text's ids are the pieces' ids in order. The ids are those of
 encoding the whole text, since both kinds of vocabulary split there before they merge anything.
+Many texts are cut at once, at spaces and line ends, by Arrow's kernels, which also find the
+distinct pieces; ids are gathered by numpy. A text that this would cut elsewhere is cut by itself.
 A piece of Latin letters is split further by the vocabulary's own pattern, and the library's
 model encodes each distinct part; any other piece goes through the whole library. A text that
 holds the string of a special token goes to the library whole.
@@ -15,13 +17,20 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space as the vocabularies' own patterns define it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: White space that a piece can end with, and classes of a piece's last byte (a byte 0 opens a text).
+_ENDS = frozenset(chr(x).encode() for x in range(0x3001) if re.fullmatch(f"[{SPACE}]", chr(x)))
+_BYTE_SPACE = np.array([bytes([x]) in _ENDS for x in range(256)])
+_BYTE_SOLID = np.array([x == 0 or bytes([x]).isalnum() for x in range(256)])
 #: The pattern of byte-level vocabularies that name none.
 PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Below this character, normal forms and letter classes are the same in every version of Unicode.
@@ -91,6 +100,7 @@ class CachedEncoder:
         if steps[-1].get("add_prefix_space") or not {*forms} <= {"NFC", "Replace", "Lowercase"}:
             raise ValueError("a vocabulary whose texts cannot be cut at white space")
         self.letters = {x: c for c, x in byte_letters().items()}
+        self.plain_words = not (self.words_only or self.lower)
         self._remember(pieces)
 
     def _remember(self, pieces: int) -> None:
@@ -98,13 +108,26 @@ class CachedEncoder:
         self.memory = _Memory(self._learn, {})
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, letters: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token."""
-        return np.array([x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        return self._ids(part.encode().decode("latin-1").translate(self.letters))
+
+    def _text(self, piece: str | bytes) -> str:
+        """What a piece stands for; bytes are a name that ``_cut`` gave."""
+        if isinstance(piece, str):
+            return piece
+        if self.words_only or piece[:1] == b"\n":
+            return piece.decode()
+        return piece[1:].decode() if piece[:1] in (b"\0", b"\1") else " " + piece.decode()
 
     def _learn(self, piece: str | bytes) -> bytes:
-        text = piece.decode() if isinstance(piece, bytes) else piece
-        if not _LATIN.fullmatch(text):
+        if self.plain_words and isinstance(piece, bytes) and piece.isalpha():  # ASCII letters after a space: one pre-token
+            return self._ids(self.letters[0x20] + piece.decode())
+        text = self._text(piece)
+        if not text.isascii() and not _LATIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.lower:
             text = text.lower() if text.isascii() else "".join(map(str.lower, text))
@@ -126,18 +149,78 @@ class CachedEncoder:
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            low = text.lower() if self.lower else text
-            if any(s in low for s in self.special):
-                out.append(self._whole(text))
-            else:
-                out.append(b"".join(map(self.memory.__getitem__, low.split() if self.words_only else _PIECES.findall(text.decode()))))
-            if len(self.memory) >= self.half:
-                self.memory = _Memory(self._learn, dict(self.memory))
+    def _alone(self, text: bytes) -> bytes:
+        """Ids of one text, by its own pieces."""
+        low = text.lower() if self.lower else text
+        if any(x in low for x in self.special):
+            return self._whole(text)
+        return b"".join(map(self.memory.__getitem__, low.split() if self.words_only else _PIECES.findall(text.decode())))
+
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of the texts in order, and how many each text has.
+
+        Without words only, a piece is named by what follows a space. One that begins with a line end
+        keeps it, one that opens a text has a zero byte in front, and one that begins with a comma or
+        a full stop in the midst of a word has a byte 1 in front.
+        """
+        if self.words_only:
+            joined = [x.lower() if self.lower else x for x in texts]
+            found = pc.ascii_split_whitespace(pa.array(joined, pa.binary()).view(pa.string()))
+            return found.flatten().view(pa.binary()), np.diff(found.offsets.to_numpy()).astype(np.int64)
+        n = np.fromiter((1 + sum(map(x.count, (b" ", b"\n", b",", b"."))) for x in texts), dtype=np.int64, count=len(texts))
+        joined = (b"\0" + b" \0".join(texts)).replace(b"\n", b" \n").replace(b",", b" \1,").replace(b".", b" \1.")
+        return pc.split_pattern(pa.array([joined], pa.binary()), " ").flatten(), n
+
+    @staticmethod
+    def _doubtful(names: pa.Array, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Pieces with no sure cut after them (white space, if it does not end a text) or before them (in the midst of a word, if no letter or number comes first)."""
+        ends = np.frombuffer(names.buffers()[1], dtype=np.int32)[: len(names) + 1]
+        data = np.frombuffer(names.buffers()[2], dtype=np.uint8)
+        some = np.diff(ends) > 0
+        head, tail = (np.full(len(names), 0x20, dtype=np.uint8) for _ in range(2))
+        head[some], tail[some] = data[ends[:-1][some]], data[ends[1:][some] - 1]
+        space, solid = _BYTE_SPACE[tail], _BYTE_SOLID[tail]
+        for i in np.flatnonzero(tail >= 0x80).tolist():
+            end = names[i].as_py()[-4:].decode(errors="ignore")[-1:]
+            space[i], solid[i] = end.encode() in _ENDS, end < "ɐ" and end.isalpha()
+        out = space[at]
+        out[last] = False
+        out[1:] |= (head == 1)[at[1:]] & ~solid[at[:-1]]
         return out
 
+    def arrays(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end."""
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        low = [x.lower() for x in texts] if self.lower else texts
+        mark = self.special if self.words_only else [*self.special, b"\0", b"\1"]
+        alone = np.fromiter((any(x in t for x in mark) for t in low), dtype=bool, count=len(texts))
+        pieces, n = self._cut([b"" if x else t for t, x in zip(texts, alone.tolist(), strict=True)])
+        coded = pieces.dictionary_encode()
+        names, at = coded.dictionary, coded.indices.to_numpy()
+        ids = list(map(self.memory.__getitem__, names.to_pylist()))
+        if len(self.memory) >= self.half:
+            self.memory = _Memory(self._learn, dict(self.memory))
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin, pieces_end = np.cumsum(length) - length, np.cumsum(n)
+        if not self.words_only:
+            alone |= np.add.reduceat(self._doubtful(names, at, pieces_end - 1), pieces_end - n, dtype=np.int64) > 0
+        count = length[at]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ends = total[pieces_end]
+        kind = np.int32 if total[-1] < 1 << 31 else np.int64
+        source = np.repeat((begin[at] - total[:-1]).astype(kind), count)
+        source += np.arange(total[-1], dtype=kind)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[source]
+        if not alone.any():
+            return out, ends
+        parts = [np.frombuffer(self._alone(t), dtype="<u4") if x else out[b:e] for t, x, b, e in zip(texts, alone.tolist(), np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        ids, ends = self.arrays(texts)
+        return [ids[b:e].tobytes() for b, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(texts) else []
+
 
 def encoder(vocabulary: str) -> CachedEncoder:
     """One encoder for each vocabulary and worker; tasks that follow in the same worker find its pieces."""
