@@ -506,3 +506,35 @@ def test_rules(spark):
     assert kept.columns == frame(spark).columns
     assert Counter(key(r.doc_id) for r in kept.collect()) == Counter(key(i) for i, x in pairs(texts) if naive_rules(x, bands)[-1])
     assert quality_rules.judge(frame(spark, {})).count() == 0
+
+
+def _unmarked(paragraphs, extra=""):
+    links = "".join(f"<div><a href='/{k}'>item {k}</a></div>" for k in range(12))
+    return f"<html><head><title>t</title></head><body><div>{links}</div>{''.join(f'<div><p>{p}</p></div>' for p in paragraphs)}<div>{links}</div>{extra}</body></html>"
+
+
+def test_html_ratios_smoothing_and_threshold_decide(monkeypatch):
+    """Nothing here is named: no article, no class, no nav."""
+    long = "A paragraph of some length that says a thing or two about the matter at hand and then goes on. " * 3
+    paragraphs = [long.strip(), "Short one.", long.strip(), long.strip()]
+    whole = " ".join(paragraphs)
+    assert html_extract.main_text(_unmarked(paragraphs)) == whole
+    # without smoothing the short paragraph falls to the links
+    assert html_extract.main_text(_unmarked(paragraphs), html_extract.Ratios(sigma=0.01)) == " ".join([*paragraphs[:1], *paragraphs[2:]])
+    # without a threshold on what the ratios say, the links come along
+    monkeypatch.setattr(html_extract, "smooth", lambda x, sigma: np.ones(len(x)))
+    assert html_extract.main_text(_unmarked(paragraphs)) != whole
+
+
+def test_html_names_lower_but_do_not_decide():
+    long = "A paragraph of some length that says a thing or two about the matter at hand and then goes on. " * 30
+    assert html_extract.main_text(f"<body><nav><a>One</a><a>Two</a></nav><div class='sidebar'><p>{long}</p></div><footer>End of it</footer></body>") == long.strip()
+    assert html_extract.main_text("<body><nav><a>One</a><a>Two</a></nav><footer>End of it</footer></body>") == ""
+
+
+def test_html_without_marks_on_whole_table(spark):
+    """Articles and adverts of the table's pages in plain divs: ratios find the text of nearly every page."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    plain = [x.replace("<article>", "<div>").replace("</article>", "</div>").replace('<div class="ad">', "<div>") for x in pages]
+    same = sum(html_extract.main_text(x) == html_extract.main_text(y) for x, y in zip(pages, plain))
+    assert same >= 0.9 * len(pages)

@@ -1,19 +1,21 @@
 """HTML main text: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser is fed a page and its events are folded into lines, one per
-block. A line's ratio is its characters by its tags. Lines inside elements that are never
-article text by name (menus, headers, footers, asides, forms, scripts, or a class, id or role
-that says so) have the ratio zero, whatever they hold. The ratios are smoothed with a Gaussian
-over neighbouring lines. Lines that follow each other in one container form a region; regions
-are split in two clusters by a threshold on the highest smoothed ratio (the ratios' standard
-deviation, lowered to the best region's ratio when none reaches it), and all lines of the upper
-cluster's regions are the text. Where a page marks its articles, each is one region, and only
-they can be content.
+block. A line's ratio is its characters by its tags; the ratios are smoothed with a Gaussian
+over neighbouring lines. Where an element's tag, class, id or role speaks against article text
+(menus, headers, footers, asides, forms, adverts, comments), and where a page marks its
+articles and a line is in none, the smoothed ratio is lowered by a factor. Lines of one
+container that are lowered alike form a region, an article is one however it is divided, and a
+region's value is the mean of its lines' ratios by characters. A threshold parts the regions in
+two clusters: the lines' standard deviation, or a share of the best region's value if that is
+more, lowered to the best value when none reaches it. All lines of the upper regions are the
+text. Names never decide alone: a lowered region whose ratio is high enough still is content.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,7 +27,10 @@ from weft.llm.arrow import map_batches, slices
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style noscript template iframe object svg canvas math audio video nav header footer aside form menu button select textarea input label dialog title".split())
+#: What a browser shows no text of.
+UNSEEN = frozenset("head script style noscript template iframe object svg canvas audio video title".split())
+#: What seldom is article text.
+SELDOM = frozenset("nav header footer aside form menu button select textarea input label dialog".split())
 #: A paragraph ends where one of these begins, even if its end tag is missing; likewise list items, cells and options.
 ENDS_P = BLOCKS - {"br", "body", "html", "head", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "title"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -39,12 +44,24 @@ HAS = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[-_]\S*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
+@dataclass(frozen=True)
+class Ratios:
+    #: Width of the Gaussian, in lines.
+    sigma: float = 0.7
+    #: Factor on a ratio that a name lowers; once more where a page marks articles and the line is in none.
+    lowered: float = 0.02
+    #: Least share of the best region's value.
+    share: float = 0.3
+    #: Least value of a region that is lowered, in characters by tag.
+    floor: float = 4.0
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text pieces, tags, container number, barred, in an article)."""
+    """Events to lines: (text pieces, tags, container number, lowered, in an article). Lowered: 1 by a word of layout, 2 by others, 3 if not shown at all."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, barred (1: by a word of layout), in an article, container
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, lowered, in an article, container
         self.lines: list[tuple[list[str], int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -55,8 +72,8 @@ class Lines(HTMLParser):
 
     def _close_line(self) -> None:
         if self.text or self.tags:
-            barred, article, container = self._state()
-            self.lines.append((self.text, self.tags, container, barred, article))
+            low, article, container = self._state()
+            self.lines.append((self.text, self.tags, container, low, article))
             self.text, self.tags = [], 0
 
     def _pop(self, at: int) -> None:
@@ -85,16 +102,18 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self._close_line()
             return
-        barred, article, container = self._state()
+        low, article, container = self._state()
         inside = article
         article = article or tag in ("article", "main")
-        if barred == 1 and tag in ("article", "main"):
-            barred = 0
-        if not barred:
-            barred = 2 * (tag in NEVER and not (tag == "header" and article))
+        if low == 1 and tag in ("article", "main"):
+            low = 0
+        if tag in UNSEEN:
+            low = 3
+        if not low:
+            low = 2 * (tag in SELDOM and not (tag == "header" and article))
             for name, value in attrs:
                 value = value or ""
-                if barred == 2:
+                if low == 2:
                     break
                 if name in ("class", "id"):
                     words = HAS.sub(" ", value)
@@ -103,13 +122,13 @@ class Lines(HTMLParser):
                     layout = not NAMED.search(LAYOUT.sub(" ", words))
                     # an article's own header has its title; an article is not made a sidebar by a word
                     if not layout or not (tag == "article" or (inside and "header" in words.lower())):
-                        barred = max(barred, 1 if layout else 2)
+                        low = max(low, 1 if layout else 2)
                 elif (name == "role" and value.strip().lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                    barred = 2
+                    low = 2
         if tag in CONTAINERS and not inside:  # an article is one region, however it is divided
             self.containers += 1
             container = self.containers
-        self.open.append((tag, barred, article and not barred, container))
+        self.open.append((tag, low, article and not low, container))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -133,7 +152,7 @@ class Lines(HTMLParser):
     def finish(self) -> list[tuple[str, int, int, bool, bool]]:
         self.close()
         self._close_line()
-        return [(" ".join("".join(text).split()), tags, container, barred, article) for text, tags, container, barred, article in self.lines]
+        return [(" ".join("".join(text).split()), tags, container, low, article) for text, tags, container, low, article in self.lines]
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -144,32 +163,32 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return whole / np.convolve(np.ones(len(x)), kernel)[reach : reach + len(x)]
 
 
-def main_text(html: str, sigma: float = 1.0) -> str:
+def main_text(html: str, how: Ratios = Ratios()) -> str:
     page = Lines()
     page.feed(html)
-    lines = page.finish()
     # a line with text opens; tags of lines without text count for the next one
-    rows: list[tuple[str, int, int, bool, bool]] = []
+    rows: list[tuple[str, int, int, int, bool]] = []
     tags = 0
-    for text, own, container, barred, article in lines:
+    for text, own, container, low, article in page.finish():
         tags += own
-        if text:
-            rows.append((text, tags, container, barred, article))
+        if text and low < 3:
+            rows.append((text, tags, container, low, article))
             tags = 0
     if not rows:
         return ""
-    marked = any(article and not barred for *_, barred, article in rows)
-    open_to = [not barred and (article or not marked) for *_, barred, article in rows]
-    ratios = np.array([len(r[0]) / max(1, r[1]) if fine else 0.0 for r, fine in zip(rows, open_to, strict=True)])
-    smoothed = smooth(ratios, sigma)
-    regions: dict[int, float] = {}
-    for at, (r, fine) in enumerate(zip(rows, open_to, strict=True)):
-        if fine:
-            regions[r[2]] = max(regions.get(r[2], 0.0), float(smoothed[at]))
-    if not regions:
-        return ""
-    threshold = min(float(smoothed.std()), max(regions.values()))
-    return " ".join(r[0] for r, fine in zip(rows, open_to, strict=True) if fine and regions[r[2]] >= threshold)
+    marked = any(article for *_, article in rows)
+    weights = np.array([how.lowered ** ((low > 0) + (marked and not article)) for *_, low, article in rows])
+    sizes = np.array([len(r[0]) for r in rows], dtype=float)
+    ratios = sizes / np.maximum(1, [r[1] for r in rows])
+    # a lowered line gives its neighbours as little as it has itself, and is not lifted by them
+    values = np.where(weights < 1, np.minimum(ratios, smooth(ratios, how.sigma)) * weights, smooth(ratios * weights, how.sigma))
+    numbers: dict[tuple[int, float], int] = {}
+    region = np.array([numbers.setdefault((r[2], w), len(numbers)) for r, w in zip(rows, weights.tolist(), strict=True)])
+    of_region = np.bincount(region, weights=values * sizes) / np.bincount(region, weights=sizes)
+    lowest = np.array([0.0 if w == 1 else how.floor for _, w in numbers])
+    best = float(of_region.max())
+    upper = (of_region >= min(best, max(float(values.std()), how.share * best))) & (of_region >= lowest)
+    return " ".join(r[0] for r, fine in zip(rows, upper[region].tolist(), strict=True) if fine)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
