@@ -225,35 +225,58 @@ class Tensor:
         """The value of one cell, zero without a row."""
         if len(at) != self.rank:
             raise ArgumentCountError(f"{len(at)} indices for rank {self.rank}")
-        row = self.view(*at).df.first()
+        return self.item_of(self.view(*at).df.first())
+
+    def item_of(self, row):
+        """A row's value as a plain number."""
         if row is None or row["v"] is None:
             return 0j if is_complex(self.dtype) else (0 if self.dtype.startswith("int") else 0.0)
         return complex(row["v"]["re"], row["v"]["im"]) if is_complex(self.dtype) else row["v"]
 
+    def window(self, parts: Sequence[int | slice]) -> list[tuple[int, int]]:
+        """Lowest index and one more than the highest, of every dimension."""
+        full = (*parts, *(slice(None),) * (self.rank - len(parts)))
+        return [(self._wrap(k, int(p)), self._wrap(k, int(p)) + 1) if isinstance(p, (int, np.integer)) else self._range(k, p) for k, p in enumerate(full)]
+
     def assign(self, parts: Sequence[int | slice], other: Tensor | float) -> Tensor:
         """This tensor with the window replaced: rows of the window go, the other's rows come."""
-        window = self.view(*parts)
+        seen = self.view(*parts)
         if not isinstance(other, Tensor):
             from weft.functions.generators import filled
 
-            other = filled(self.spark, window.dims, other, self.dtype)
-        if other.dims != window.dims:
-            raise DimensionError(f"window {window.dims}, value {other.dims}")
-        full = (*parts, *(slice(None),) * (self.rank - len(parts)))
+            other = filled(self.spark, seen.dims, other, self.dtype)
+        if other.dims != seen.dims:
+            raise DimensionError(f"window {seen.dims}, value {other.dims}")
         inside, columns, k = F.lit(True), [], 0
-        for at, p in enumerate(full):
-            if isinstance(p, (int, np.integer)):
-                n = self._wrap(at, int(p))
-                inside = inside & (F.col(f"i{at}") == n)
-                columns.append(F.lit(n).cast("bigint").alias(f"i{at}"))
+        for at, (low, high) in enumerate(self.window(parts)):
+            inside = inside & (F.col(f"i{at}") >= low) & (F.col(f"i{at}") < high)
+            if at < len(parts) and isinstance(parts[at], (int, np.integer)):
+                columns.append(F.lit(low).cast("bigint").alias(f"i{at}"))
             else:
-                low, high = self._range(at, p)
-                inside = inside & (F.col(f"i{at}") >= low) & (F.col(f"i{at}") < high)
                 columns.append((F.col(f"i{k}") + low).cast("bigint").alias(f"i{at}"))
                 k += 1
         moved = other.cast(self.dtype).df.select(*columns, "v")
         return self.with_rows(self.df.where(~inside).unionByName(moved))
 
+    def add_to(self, parts: Sequence[int | slice], other: Tensor | float) -> Tensor:
+        """This tensor with ``other`` added in the window."""
+        return self.assign(parts, self.view(*parts) + other)
+
+    def __iter__(self):
+        """The slices along the first index, or the cells of a vector: these are read once, in order."""
+        if self.rank == 1:
+            at, zero = 0, self.item_of(None)
+            for row in self.df.orderBy("i0").toLocalIterator():
+                yield from [zero] * (row["i0"] - at)
+                yield self.item_of(row)
+                at = row["i0"] + 1
+            yield from [zero] * (self.dims[0] - at)
+        else:
+            yield from (self.view(k) for k in range(self.dims[0]))
+
+    def __len__(self) -> int:
+        return self.dims[0]
+
     # arithmetic
 
     def _other(self, other) -> Tensor | complex | float:
