@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import re
+import shutil
+import tempfile
 import time
+import uuid
 from collections import defaultdict
 
 from weft.errors import BadLogic
@@ -39,6 +43,22 @@ class Settings:
 
 
 settings = Settings()
+
+
+def scratch(spark, label: str) -> str:
+    """A new folder name for files of the engine's own: under the setting "scratch-dir", else under spark.checkpoint.dir, which
+    all executors share. Only a local session may have neither; its folder goes with the process unless "keep-files" is set."""
+    root = settings.get("scratch-dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise BadLogic("set spark.checkpoint.dir or scratch-dir to a folder that all executors share")
+        held = tempfile.mkdtemp(prefix="weft-")
+        if not settings.get("keep-files", bool):
+            atexit.register(shutil.rmtree, held, ignore_errors=True)
+        root = f"file://{held}"
+    return f"{root.rstrip('/')}/{settings.get('file-name', default='weft')}-{label}-{uuid.uuid4().hex}"
+
+
 #: Seconds and calls of each section.
 sections: dict[str, list] = defaultdict(lambda: [0.0, 0])
 

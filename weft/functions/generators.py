@@ -105,15 +105,30 @@ def diagonal_like(vector: Tensor, other: Tensor) -> Tensor:
     return vector.with_rows(vector.df.select(*(F.col("i0").alias(c) for c in other.columns), "v"), other.dims)
 
 
-def random(spark: SparkSession, dims: Sequence[int], seed: int = 0, dtype: str = "float64", normalize: bool = False, low: float = -1.0, high: float = 1.0) -> Tensor:
-    """Uniform cells (complex: uniform on the disk). Drawn from the cell's number, so any partitioning draws the same.
+DISTRIBUTIONS = ("uniform", "normal", "circle", "unit_circle")
+_seed = [0]
+
+
+def seed_random(seed: int) -> None:
+    """What random() starts from where no seed is given."""
+    _seed[0] = seed
+
+
+def random(spark: SparkSession, dims: Sequence[int], seed: int | None = None, dtype: str = "float64", normalize: bool = False, low: float = -1.0, high: float = 1.0, distribution: str | None = None) -> Tensor:
+    """Random cells, drawn from the cell's number, so any partitioning draws the same. Real: uniform in [low, high), or normal.
+    Complex: uniform on the disk of radius ``high`` (circle), on its edge (unit_circle), or normal in both parts.
     With ``normalize``, the columns of a matrix (or the vector) have 2-norm one."""
+    kind = distribution or ("circle" if is_complex(dtype) else "uniform")
+    if kind not in DISTRIBUTIONS or (kind == "uniform") == is_complex(dtype) and kind != "normal":
+        raise BadLogic(f"no {kind!r} cells of {dtype}")
+    seed = _seed[0] if seed is None else seed
     a, b = (_uniform(F.col("id"), seed, k) for k in (1, 2))
+    size = {"uniform": a, "normal": F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - a)), "circle": F.sqrt(a) * F.lit(high), "unit_circle": F.lit(high)}[kind]
+    phi = b * F.lit(2 * math.pi)
     if is_complex(dtype):
-        r, phi = F.sqrt(a) * F.lit(high), b * F.lit(2 * math.pi)
-        v = F.struct((r * F.cos(phi)).alias("re"), (r * F.sin(phi)).alias("im"))
+        v = F.struct((size * F.cos(phi)).alias("re"), (size * F.sin(phi)).alias("im"))
     else:
-        v = (F.lit(low) + a * F.lit(high - low)).cast(DTYPES[dtype][0])
+        v = (size * F.cos(phi) if kind == "normal" else F.lit(low) + a * F.lit(high - low)).cast(DTYPES[dtype][0])
     at = unravel(F.col("id"), dims)
     t = Tensor(spark.range(math.prod(dims)).select(*(c.alias(x) for c, x in zip(at, index_columns(len(dims)), strict=True)), v.alias("v")), tuple(dims), dtype)
     if not normalize or t.rank not in (1, 2):

@@ -26,6 +26,43 @@ def dot(a: Tensor, b: Tensor, c: Tensor | None = None) -> Tensor:
     return Plan((), _labels(a), _labels(b)).execute(a, b)
 
 
+def precise_dot(a: Tensor, b: Tensor) -> Tensor:
+    """Sum of products of two real tensors, rounded nearly once. Each product is split into two doubles without error; a task
+    sums them exactly and hands on two doubles, and so does the last step."""
+    same_dims(a, b)
+    if a.kind.complex or b.kind.complex:
+        raise RankError("precise sums are of real tensors")
+    x, y = F.col("a0"), F.col("a1")
+
+    def split(v):
+        c = v * F.lit(134217729.0)
+        high = c - (c - v)
+        return high, v - high
+
+    (xh, xl), (yh, yl) = split(x), split(y)
+    p = x * y
+    rest = ((xh * yh - p) + xh * yl + xl * yh) + xl * yl
+
+    def add(batches):
+        import math
+
+        import pyarrow as pa
+
+        held: list[float] = []
+        for batch in batches:
+            values = [v for c in batch.columns for v in c.to_pylist()] + held
+            high = math.fsum(values)
+            low = math.fsum([*values, -high])
+            held = [high, low, math.fsum([*values, -high, -low])]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in held], names=["p", "e", "f"])
+
+    schema = "p double, e double, f double"
+    pairs = zipped((a.cast("float64"), b.cast("float64")), "inner", arithmetic("float64")).select(p.alias("p"), rest.alias("e"), F.lit(0.0).alias("f"))
+    total = pairs.mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema)
+    return Tensor(total.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("v")), ())
+
+
 def true_dot(a: Tensor, b: Tensor) -> Tensor:
     same_dims(a, b)
     return Plan((), _labels(a), _labels(b)).execute(a, b, conj_a=True)
@@ -161,4 +198,4 @@ def weight(t: Tensor, w: Tensor) -> Tensor:
     return Plan(_labels(t), _labels(t), LETTERS[0]).execute(t, w)
 
 
-__all__ = ["asum", "axpby", "axpy", "combine", "copy", "direct_product", "dot", "gemm", "gemv", "ger", "gerc", "nrm2", "real_of", "rscl", "scale", "scale_column", "scale_row", "sum1", "sum_square", "symm_gemm", "trace", "true_dot", "weight"]
+__all__ = ["asum", "axpby", "axpy", "combine", "copy", "direct_product", "dot", "gemm", "gemv", "ger", "gerc", "nrm2", "precise_dot", "real_of", "rscl", "scale", "scale_column", "scale_row", "sum1", "sum_square", "symm_gemm", "trace", "true_dot", "weight"]

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.errors import BadLogic, DimensionError, RankError
+from weft.operators import blas, shape
 from weft.operators.local import canonical_columns, per_block
-from weft.plans.contraction import Plan, einsum
+from weft.plans.contraction import BROADCAST_CELLS, Plan, einsum
+from weft.plans.labels import labels_of
 from weft.tensor import Tensor, index_columns
 
 
@@ -30,6 +32,22 @@ def part_of(c: Column, sizes: Sequence[int]) -> Column:
     return F.size(F.filter(starts, lambda x: x <= c)).cast("int") if len(sizes) > 1 else F.lit(0)
 
 
+#: Parts up to which their bounds stand in an expression; beyond, they are a table that is joined.
+FEW = 64
+
+
+def number_parts(df: DataFrame, index: str, sizes: Sequence[int], name: str) -> DataFrame:
+    """``df`` with the part that ``index`` lies in, as ``name``, and that part's first index, as ``name``_low."""
+    low = offsets(sizes)
+    if len(sizes) <= FEW or len(set(sizes)) == 1:
+        k = part_of(F.col(index), sizes).cast("bigint")
+        first = k * sizes[0] if len(set(sizes)) == 1 else F.element_at(F.array(*(F.lit(x).cast("bigint") for x in low[:-1])), (k + 1).cast("int"))
+        return df.withColumn(name, k).withColumn(f"{name}_low", first.cast("bigint"))
+    rows = df.sparkSession.createDataFrame([(k, low[k], low[k + 1]) for k, n in enumerate(sizes) if n], f"{name} bigint, {name}_low bigint, high bigint")
+    members = rows.select(name, f"{name}_low", F.explode(F.sequence(f"{name}_low", F.col("high") - 1)).alias(index))
+    return df.join(F.broadcast(members) if low[-1] <= BROADCAST_CELLS else members, index)
+
+
 @dataclass(frozen=True)
 class BlockTensor:
     """Equal dimensions, cut alike; only blocks on the diagonal hold anything. ``tensor`` is the whole one."""
@@ -45,8 +63,14 @@ class BlockTensor:
         if tensor.rank < 1 or any(d != n for d in tensor.dims):
             raise DimensionError(f"blocks of {n} for {tensor.dims}")
         df = tensor.df
-        for c in tensor.columns[1:]:
-            df = df.where(part_of(F.col(c), sizes) == part_of(F.col("i0"), sizes))
+        if len(sizes) <= FEW or len(set(sizes)) == 1:
+            for c in tensor.columns[1:]:
+                df = df.where(part_of(F.col(c), sizes) == part_of(F.col("i0"), sizes))
+        else:
+            df = number_parts(df, "i0", sizes, "blk")
+            for c in tensor.columns[1:]:
+                df = number_parts(df, c, sizes, "own").where("own = blk").drop("own", "own_low")
+            df = df.select(*tensor.columns, "v")
         return BlockTensor(tensor.with_rows(df), tuple(sizes), tuple(names))
 
     @property
@@ -88,7 +112,7 @@ class BlockTensor:
         return self.tensor
 
     def with_key(self) -> DataFrame:
-        return self.tensor.df.withColumn("blk", part_of(F.col("i0"), self.sizes).cast("bigint"))
+        return number_parts(self.tensor.df, "i0", self.sizes, "blk")
 
     def map_blocks(self, f: Callable[[Tensor], Tensor]) -> BlockTensor:
         """f on the whole tensor, for operations that keep to blocks."""
@@ -135,9 +159,7 @@ class BlockTensor:
             raise RankError("blocks of matrices")
         low = offsets(self.sizes)
         sizes = dict(enumerate(self.sizes))
-        rows = self.with_key()
-        starts = F.create_map(*(F.lit(x).cast("bigint") for k in range(len(self.sizes)) for x in (k, low[k])))
-        local = rows.select("blk", (F.col("i0") - starts[F.col("blk")]).alias("i0"), (F.col("i1") - starts[F.col("blk")]).alias("i1"), "v")
+        local = self.with_key().select("blk", (F.col("i0") - F.col("blk_low")).alias("i0"), (F.col("i1") - F.col("blk_low")).alias("i1"), "v")
         return per_block(local, "blk", ["i0", "i1"], ["v"], lambda k, x: f(x["v"], low[k]), f"blk bigint, {schema}", sizes)
 
     def syev(self) -> tuple[Tensor, BlockTensor]:
@@ -157,6 +179,23 @@ class BlockTensor:
 
     heev = syev
 
+    def geev(self) -> tuple[Tensor, BlockTensor]:
+        """Complex eigenvalues (by real, then imaginary part within a block) and right vectors of each block."""
+
+        def f(x, low):
+            w, v = np.linalg.eig(x)
+            order = np.lexsort((w.imag.round(12), w.real.round(12)))
+            w, v = w[order].astype(complex), canonical_columns(v[:, order].astype(complex))[0]
+            n = len(w)
+            w, v = np.repeat(w, n), v.ravel()
+            return {"i0": low + np.repeat(np.arange(n), n), "i1": low + np.tile(np.arange(n), n), "wr": w.real, "wi": w.imag, "vr": v.real, "vi": v.imag}
+
+        found = self._blocks(f, "i0 bigint, i1 bigint, wr double, wi double, vr double, vi double").cache()
+        n = self.tensor.dims[0]
+        values = found.where("i0 = i1").select("i0", F.struct(F.col("wr").alias("re"), F.col("wi").alias("im")).alias("v"))
+        vectors = found.select("i0", "i1", F.struct(F.col("vr").alias("re"), F.col("vi").alias("im")).alias("v"))
+        return Tensor(values, (n,), "complex128"), BlockTensor(Tensor(vectors, (n, n), "complex128"), self.sizes, self.names)
+
     def invert(self) -> BlockTensor:
         def f(x, low):
             y = np.linalg.inv(x)
@@ -225,7 +264,19 @@ class TiledTensor:
 
     def filled(self) -> DataFrame:
         """t0, t1, ...: tiles that hold a row."""
-        return self.tensor.df.select(*(c.alias(f"t{k}") for k, c in enumerate(self.tile_columns()))).distinct()
+        df = self.tensor.df
+        for k, p in enumerate(self.parts):
+            df = number_parts(df, f"i{k}", p, f"t{k}")
+        return df.select(*(F.col(f"t{k}").cast("int").alias(f"t{k}") for k in range(len(self.parts)))).distinct()
+
+    def zero(self) -> TiledTensor:
+        """No tiles any more."""
+        return TiledTensor(self.tensor.with_rows(self.tensor.df.limit(0)), self.parts)
+
+    def zero_no_clear(self) -> TiledTensor:
+        """The same tiles, holding zeros."""
+        kind = self.tensor.kind
+        return TiledTensor(self.tensor.map_values(lambda v: kind.narrow(kind.lit(0), self.tensor.dtype)), self.parts)
 
     def has_tile(self, *tile: int) -> bool:
         return not self.tile(*tile).df.isEmpty()
@@ -254,6 +305,77 @@ class TiledTensor:
         return self.parts
 
 
+def _plain(x):
+    return x.tensor if isinstance(x, (BlockTensor, TiledTensor)) else x
+
+
+def _like(t: Tensor, *givers):
+    """t cut as the first block or tiled one of the givers is."""
+    for x in givers:
+        if isinstance(x, BlockTensor):
+            return BlockTensor.of(t, x.sizes, x.names)
+        if isinstance(x, TiledTensor):
+            return TiledTensor.of(t, x.parts)
+    return t
+
+
+def scale(factor, a):
+    return _like(blas.scale(factor, _plain(a)), a)
+
+
+def axpby(alpha, x, beta, y):
+    """alpha x + beta y of block or tiled tensors that are cut alike."""
+    if isinstance(x, BlockTensor) and isinstance(y, BlockTensor):
+        x._same(y)
+    if isinstance(x, TiledTensor) and isinstance(y, TiledTensor):
+        x._alike(y)
+    return _like(blas.axpby(alpha, _plain(x), beta, _plain(y)), y, x)
+
+
+def axpy(alpha, x, y):
+    return axpby(alpha, x, 1, y)
+
+
+def true_dot(a, b) -> Tensor:
+    return blas.true_dot(_plain(a), _plain(b))
+
+
+def sum_square(a) -> tuple[Tensor, Tensor]:
+    return blas.sum_square(_plain(a))
+
+
+def gemv(alpha, a, x, beta=0.0, y=None, trans: str = "n"):
+    """A tiled matrix gives a tiled vector, a block one a plain vector."""
+    out = blas.gemv(alpha, _plain(a), _plain(x), beta, _plain(y) if y is not None else None, trans)
+    return TiledTensor.of(out, (a.parts[0 if trans.lower() == "n" else 1],)) if isinstance(a, TiledTensor) else out
+
+
+def ger(alpha, x, y, a, conj: bool = False):
+    """a + alpha x y^T, cut as a is; of a block tensor, inside its blocks."""
+    return _like(blas.ger(alpha, _plain(x), _plain(y), _plain(a), conj), a)
+
+
+def gerc(alpha, x, y, a):
+    return ger(alpha, x, y, a, True)
+
+
+def symm_gemm(a, b, trans_b: str = "n"):
+    """op(b)^T a op(b)."""
+    out = blas.symm_gemm(_plain(a), _plain(b), trans_b)
+    if isinstance(b, TiledTensor):
+        return TiledTensor.of(out, (b.parts[1 if trans_b == "n" else 0],) * 2)
+    return _like(out, b)
+
+
+def permute(out: str, labels: str, t):
+    """Indices of a block or tiled tensor in another order; tiles move along."""
+    turned = shape.permute(out, labels, _plain(t))
+    if isinstance(t, TiledTensor):
+        cuts = dict(zip(labels_of(labels), t.parts, strict=True))
+        return TiledTensor.of(turned, tuple(cuts[x] for x in labels_of(out)))
+    return BlockTensor(turned, t.sizes, t.names) if isinstance(t, BlockTensor) else turned
+
+
 def apply_view(tensor: Tensor, *parts: Sequence[int]) -> TiledTensor:
     """A dense, block or tiled tensor seen as tiles."""
     held = tensor.tensor if isinstance(tensor, (BlockTensor, TiledTensor)) else tensor

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +13,8 @@ from weft.operators import blas, elementwise, fft, norms, shape, solve, spectral
 from weft.operators.decomposition import parafac, parafac_reconstruct, tucker_ho_svd, tucker_reconstruct
 from weft.plans.contraction import Plan, einsum
 from weft.sources import tables as src
+from weft.config import scratch
+from weft.streaming.contraction import contract_stream, keep, latest
 from weft.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,19 +53,19 @@ def _w(s: SparkSession, d: str, column: str = "l_quantity") -> Tensor:
 def _p(s: SparkSession, d: str) -> Tensor:
     """(part, size): the size again."""
     rows = src.table(s, d, "part")
-    n = max(src.bound(rows, "p_partkey")[0], src.bound(src.table(s, d, "lineitem"), "l_partkey")[0])
-    return Tensor.of(rows, ["p_partkey", "p_size"], F.col("p_size").cast("double"), (n, src.bound(rows, "p_size")[0]), summed=True)
+    (parts, sizes), (used,) = src.bounds(s, d, "part", "p_partkey", "p_size"), src.bounds(s, d, "lineitem", "l_partkey")
+    return Tensor.of(rows, ["p_partkey", "p_size"], F.col("p_size").cast("double"), (max(parts, used), sizes), summed=True)
 
 
 def _a(s: SparkSession, d: str) -> Tensor:
     t = src.quantities(s, d)
-    n = max(t.dims[1], src.bound(src.table(s, d, "part"), "p_partkey")[0])
+    n = max(t.dims[1], src.bounds(s, d, "part", "p_partkey")[0])
     return t.with_rows(t.df, (t.dims[0], n))
 
 
 def _t(s: SparkSession, d: str) -> Tensor:
     t = src.quantities_by_line(s, d)
-    n = max(t.dims[1], src.bound(src.table(s, d, "part"), "p_partkey")[0])
+    n = max(t.dims[1], src.bounds(s, d, "part", "p_partkey")[0])
     return t.with_rows(t.df, (t.dims[0], n, t.dims[2]))
 
 
@@ -226,16 +227,14 @@ def einsum_batched_dot(s, d):
 
 @query(f"SELECT a.i AS i0, sum(a.v * x.v) AS v FROM {A} a JOIN {X} x USING (k) GROUP BY 1")
 def stream_gemv(s, d):
-    """The rows arrive as a stream; sums are kept as state until all that is there has been read."""
-    from weft.streaming.contraction import contract_stream
+    """The rows arrive as a stream; sums that change go to files, and the last one of each counts."""
 
     static = src.table(s, d, "lineitem")
     rows = s.readStream.schema(static.schema).parquet(f"{d}/lineitem.parq*")
     changes = rows.select(F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1"), F.col("l_quantity").alias("v"))
-    name = f"stream_gemv_{uuid.uuid4().hex}"
-    started = contract_stream(changes, "ik", _x(s, d), "k", "i").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return s.table(name)
+    folder = scratch(s, "stream")
+    keep(contract_stream(changes, "ik", _x(s, d), "k", "i"), f"{folder}/sums", f"{folder}/check").awaitTermination()
+    return latest(f"{folder}/sums", s, ["i0"])
 
 
 # blocks and tiles

@@ -30,6 +30,16 @@ def contract_stream(changes: DataFrame, labels: str, static: Tensor, static_labe
     return found.select(*([F.col("span.start").alias("start"), F.col("span.end").alias("end")] if time and window else []), *(F.col(column(x)).alias(n) for x, n in zip(c, names, strict=True)), "v")
 
 
+def keep(found: DataFrame, folder: str, checkpoint: str, **trigger):
+    """Start a query that writes the changed sums of each micro-batch to its own folder of Parquet files; a batch that is run
+    again replaces what it wrote. Nothing is held outside of the stream's state."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/run={batch}")
+
+    return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def latest(folder: str, spark, keys: Sequence[str]) -> DataFrame:
     """Of a folder that a stream in update mode appends to: the last value of each key."""
     rows = spark.read.parquet(folder)
