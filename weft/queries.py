@@ -626,9 +626,17 @@ def _cube(s, d) -> Tensor:
     return Tensor.of(rows, [F.col("l_orderkey") % 8, "l_linenumber", F.col("l_suppkey") % 4], "l_quantity", (8, 8, 4), summed=True)
 
 
+def _load() -> None:
+    from weft import queries_linear
+
+    assert queries_linear
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
