@@ -14,6 +14,8 @@
     candidate clusters, contain every link that the pairs could show.
 5.  In each cluster, again in blocks, links are confirmed on the full shingle sets. A search
     from document to document reaches each component without listing all pairs.
+    A list or cluster of several blocks sends its first document to all of them; what a block
+    ties to that one is done, and only the rest goes to the other blocks.
 6.  Distributed connected components join what the blocks found.
 """
 
@@ -25,11 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.arrow import as_bytes, groups, key_and_text, map_batches, slices
-from weft.llm.components import components
+from weft.llm.components import components, salted_join
 from weft.llm.storage import materialize
 
 
@@ -120,33 +122,85 @@ def _reach(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _emit(found, key: str, at_once: int = 20_000):
+    """Rows (key, a, b) in batches."""
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[key, "a", "b"])
 
-def _emit(found, at_once: int = 20_000):
-    held: list[tuple[int, int]] = []
-    for pairs in found:
-        held += pairs
+    held: list[tuple] = []
+    for rows in found:
+        held += rows
         if len(held) >= at_once:
-            yield _edge_batch(held)
+            yield batch(held)
             held = []
     if held:
-        yield _edge_batch(held)
+        yield batch(held)
 
 
-def _blocked(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """``rows`` with a column ``block`` (i, j): a group cut into ``parts`` parts meets itself in each pair of parts, i <= j.
-    ``sizes``: key, parts. A group in one part stays as it is."""
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).cast("int").alias("i"), F.greatest(own, j).cast("int").alias("j")))
-    return rows.join(sizes, key).withColumn("block", F.explode(pairs)).select("*", F.col("block.i").alias("bi"), F.col("block.j").alias("bj")).drop("block", "parts")
+def _dealt(rows: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
+    """``rows`` (key, node) of groups of two or more, with parts, first and part. ``sizes``: key, n (rows), parts, first (a node)."""
+    found = salted_join(rows, sizes.where("n >= 2").select(key, "n", "parts", "first"), [key], F.xxhash64("node"), total)
+    return found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def _spanned(dealt: DataFrame, key: str, sizes: DataFrame, total: int, payload: list[str], linker) -> DataFrame:
+    """Edges (a, b) that span the components of the links within each group.
+
+    ``dealt``: from _dealt, with ``payload``. ``linker`` makes the test for _reach from a table. A group of several parts is
+    dealt to as many tasks, and its first node's row to all of them. What a part ties to the first node is done: it meets
+    other parts only through rows that are not tied to it, which are sent to every part. So a group of copies of one text
+    moves about once, whatever its size.
+    """
+    columns = ["node", *payload]
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(key, "part").sortWithinPartitions(key, "part").select(key, "part", "first", "own", *columns)
+
+    def forest(batches, rest: bool):
+        def each():
+            for (k, _), table in groups(batches, [key, "part"]):
+                nodes = table.column("node").to_pylist()
+                pairs = _reach(len(nodes), linker(table)) if len(nodes) > 1 else []
+                yield [(k, nodes[i], nodes[j]) for i, j in pairs if nodes[i] != nodes[j]]
+                if rest:
+                    first = table.column("first")[0].as_py()
+                    root = {j: i for i, j in pairs}  # all edges of a tree start at its root
+                    done = {root.get(i, i) for i, x in enumerate(nodes) if x == first}
+                    own = table.column("own").to_pylist()
+                    yield [(k, x, None) for i, x in enumerate(nodes) if own[i] and root.get(i, i) not in done]
+
+        yield from _emit(each(), key)
+
+    schema = f"{key} long, a long, b long"
+    edges = map_batches(grouped(dealt.where("parts = 1").withColumn("own", F.lit(True))), lambda batches: forest(batches, False), schema)
+    if not sizes.where("parts > 1").take(1):
+        return edges.select("a", "b").distinct()
+    many = materialize(dealt.where("parts > 1"), "parted")
+    mine = many.withColumn("own", F.lit(True))
+
+    def elsewhere(df: DataFrame) -> DataFrame:
+        """A row for each part but the one that has it."""
+        moved = df.withColumn("home", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return moved.where("part <> home").drop("home").withColumn("own", F.lit(False))
+
+    first = materialize(map_batches(grouped(mine.unionByName(elsewhere(many.where("node = first")))), lambda batches: forest(batches, True), schema), "first")
+    left = first.where("b is null").select(key, F.col("a").alias("node")).distinct()
+    # groups that are done are not read again
+    still = sizes.select(key, "n").join(left.select(key).distinct(), key)
+    open_ = salted_join(mine, still, [key], F.xxhash64("node"), total).unionByName(elsewhere(many.join(left, [key, "node"])))
+    last = map_batches(grouped(open_), lambda batches: forest(batches, False), schema)
+    return edges.unionByName(first.where("b is not null")).unionByName(last).select("a", "b").distinct()
+
+
+def _signatures(table: pa.Table, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, k)
 
 
 def _candidates(reps: DataFrame, how: MinHash) -> DataFrame:
     """Edges (a, b) that span the components of pairs with ``how.matches`` matches or more. ``reps``: node, signature."""
     k, t = how.coordinates, how.matches
+    total = reps.count() * k
 
     def explode(batches):
         for part in slices(batches, 4096):
@@ -156,73 +210,61 @@ def _candidates(reps: DataFrame, how: MinHash) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tokens.astype(np.int64).ravel())], names=["node", "token"])
 
     posted = map_batches(reps, explode, "node long, token long")
-    frequent = posted.groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
+    frequent = posted.groupBy("token").agg(F.count("*").alias("n")).where("n >= 2").withColumn("held", F.col("n"))
     # values with one holder are not posted: a document with fewer than t others cannot reach t matches
-    shared = posted.join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("lists")).where(F.size("lists") >= t)
+    common = salted_join(posted, frequent, ["token"], F.xxhash64("node"), total).withColumnRenamed("held", "n")
+    shared = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("lists")).where(F.size("lists") >= t)
     prefix = shared.select("node", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (t - 1))).alias("x")).select("node", F.col("x.token").alias("token"))
     prefix = materialize(prefix, "postings")
-    sizes = prefix.groupBy("token").agg(F.count("*").alias("n")).where("n >= 2").select("token", F.ceil(F.col("n") / how.list_block).cast("int").alias("parts"))
-    listed = _blocked(prefix, "token", sizes).join(reps, "node")
-    listed = listed.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").select("token", "bi", "bj", "node", "signature")
+    sizes = materialize(prefix.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n >= 2").withColumn("parts", F.ceil(F.col("n") / how.list_block).cast("int")), "lists")
+    listed = _dealt(prefix, "token", sizes, total).join(reps, "node")
 
-    def merge(batches):
-        def each():
-            for _, table in groups(batches, ["token", "bi", "bj"]):
-                if table.num_rows < 2:
-                    continue
-                nodes = table.column("node").to_pylist()
-                s = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, k)
-                yield [(nodes[i], nodes[j]) for i, j in _reach(len(nodes), lambda i, rest, s=s: (s[rest] == s[i]).sum(axis=1) >= t)]
+    def linker(table: pa.Table):
+        s = _signatures(table, k)
+        return lambda i, rest: (s[rest] == s[i]).sum(axis=1) >= t
 
-        yield from _emit(each())
-
-    return map_batches(listed, merge, "a long, b long").where("a <> b").distinct()
+    return _spanned(listed, "token", sizes, total, ["signature"], linker)
 
 
 def _confirmed(documents: DataFrame, clusters: DataFrame, reps: DataFrame, how: MinHash) -> DataFrame:
     """Edges (a, b) that span the components of confirmed links. ``clusters``: node, component."""
     words, k, t, num, den = how.words, how.coordinates, how.matches, how.numerator, how.denominator
     wanted = reps.join(clusters, "node")
-    sizes = wanted.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / how.cluster_block), F.ceil(F.sum("n_shingles") / how.block_shingles)).cast("int").alias("parts"))
-    texts = documents.withColumnRenamed("doc_id", "node").join(wanted, "node")
+    sizes = wanted.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.greatest(F.ceil(F.count("*") / how.cluster_block), F.ceil(F.sum("n_shingles") / how.block_shingles)).cast("int").alias("parts"))
+    sizes = materialize(sizes, "clusters")
+    placed = _dealt(wanted.select("node", "component", "signature"), "component", sizes, sizes.agg(F.sum("n")).first()[0] or 0)
+    texts = documents.withColumnRenamed("doc_id", "node").join(placed, "node")
+    plain = ["node", "component", "parts", "first", "part", "signature"]
 
     def run(batches):
         for part in slices(batches):
             sets = [shingles(x, words).tobytes() for x in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), part.column("signature"), pa.array(sets, pa.binary())], names=["node", "component", "signature", "members"])
-
-    full = materialize(map_batches(texts.select("node", "component", "signature", "text"), run, "node long, component long, signature binary, members binary"), "members")
-    dealt = _blocked(full, "component", sizes).repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").select("component", "bi", "bj", "node", "signature", "members")
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), pa.array(sets, pa.binary())], names=[*plain, "members"])
 
-    def confirm(batches):
-        def each():
-            for _, table in groups(batches, ["component", "bi", "bj"]):
-                if table.num_rows < 2:
-                    continue
-                nodes = table.column("node").to_pylist()
-                s = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, k)
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
-                sizes = np.array([len(x) for x in sets])
-                values, places = np.unique(np.concatenate(sets), return_inverse=True)
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                sets = [places[edges[i] : edges[i + 1]] for i in range(len(nodes))]
-                mark = np.zeros(len(values), dtype=bool)
+    full = materialize(map_batches(texts.select(*plain, "text"), run, "node long, component long, parts int, first long, part int, signature binary, members binary"), "members")
 
-                def near(i, rest, s=s, sets=sets, sizes=sizes, mark=mark):
-                    hit = (s[rest] == s[i]).sum(axis=1) >= t
-                    at = np.flatnonzero(hit)
-                    if len(at):
-                        mark[sets[i]] = True
-                        both = np.array([np.count_nonzero(mark[sets[j]]) for j in rest[at]])
-                        mark[sets[i]] = False
-                        hit[at] = den * both >= num * (sizes[i] + sizes[rest[at]] - both)
-                    return hit
+    def linker(table: pa.Table):
+        s = _signatures(table, k)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        sets = [places[edges[i] : edges[i + 1]] for i in range(len(sets))]
+        mark = np.zeros(len(values), dtype=bool)
 
-                yield [(nodes[i], nodes[j]) for i, j in _reach(len(nodes), near)]
+        def near(i, rest):
+            hit = (s[rest] == s[i]).sum(axis=1) >= t
+            at = np.flatnonzero(hit)
+            if len(at):
+                mark[sets[i]] = True
+                both = np.array([np.count_nonzero(mark[sets[j]]) for j in rest[at]])
+                mark[sets[i]] = False
+                hit[at] = den * both >= num * (sizes[i] + sizes[rest[at]] - both)
+            return hit
 
-        yield from _emit(each())
+        return near
 
-    return map_batches(dealt, confirm, "a long, b long").where("a <> b").distinct()
+    return _spanned(full, "component", sizes, full.count(), ["signature", "members"], linker)
 
 
 def near_duplicates(documents: DataFrame, how: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,20 +285,25 @@ def near_duplicates(documents: DataFrame, how: MinHash = MinHash(), key: str = "
     candidates = _candidates(reps.select("node", "signature"), how)
     clusters = components(candidates, "a", "b", "clusters")
     confirmed = _confirmed(plain, clusters, reps, how)
-    # copies: salted, so that a class with very many of them is joined in several tasks
-    salts = 16
-    many = classes.where("n >= 2").select("digest", "node", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    copies = holders.select("digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(many, ["digest", "salt"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    copies = salted_join(holders.select("digest", "doc_id"), classes.where("n >= 2"), ["digest"], F.xxhash64("doc_id"), holders.count())
+    copies = copies.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(confirmed.unionAll(copies), "a", "b", "links")
-    out = sketches.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # rows without an id meet nothing, and would all go to one task
+    named = sketches.where("doc_id is not null").select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.unionByName(sketches.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def filter_rows(documents: DataFrame, how: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents``, all columns as they are, that stay: one document of each group, the one with the least id.
-    Of rows that repeat an id, one stays; rows without an id stay."""
+
+    Of rows that repeat an id, the one with the least text stays (null first; of equal texts, any of equal rows). Rows without
+    an id stay; so do null and empty texts, which link with nothing. An empty table gives none.
+    """
     kept = near_duplicates(documents, how, key, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    named = documents.where(F.col(key).isNotNull())
-    first = named.join(kept, key, "left_semi").dropDuplicates([key])
+    found = documents.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
+    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first(), F.xxhash64(*documents.columns))
+    place = "place_" + "_" * max(map(len, documents.columns))  # no column has this name
+    first = found.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
     return first.select(documents.columns).unionAll(documents.where(F.col(key).isNull()))
