@@ -538,3 +538,57 @@ def test_html_without_marks_on_whole_table(spark):
     plain = [x.replace("<article>", "<div>").replace("</article>", "</div>").replace('<div class="ad">', "<div>") for x in pages]
     same = sum(html_extract.main_text(x) == html_extract.main_text(y) for x, y in zip(pages, plain))
     assert same >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_embedding_recall_at_many_bits(spark, monkeypatch, few):
+    """Pairs just above the least cosine, 12 bits a code; pairs sent one by one, by blocks, and both."""
+    monkeypatch.setattr(embedding_dedup, "FEW_PAIRS", few)
+    draw = np.random.default_rng(8)
+    a = draw.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = draw.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = draw.uniform(0.931, 0.935, (1500, 1))
+    x = np.vstack([a, c * a + np.sqrt(1 - c * c) * side, a[:1] + 0.02 * draw.standard_normal((80, 32))]).astype(np.float32)
+    how = embedding_dedup.SignHash(per_bucket=1)
+    assert how.bits(len(x)) == 12
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, how).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    true = ((y @ y.T >= 0.93).sum(axis=1) - 1).tolist()
+    assert all(found[k] <= n for k, n in enumerate(true))
+    assert sum(found.values()) >= 0.998 * sum(true) and sum(true) > 9000
+
+
+def test_a_key_with_very_many_rows_is_dealt_to_several_tasks(spark):
+    from weft.llm.components import salted_join
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 12_000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(rows, groups, ["k"], F.xxhash64("v"), 20_000)
+        sizes = [r["count"] for r in joined.where("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 1 and sum(sizes) == 12_000
+        assert joined.where("k = 7").agg(F.min("least"), F.max("least")).first()[:] == (0, 0) and joined.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_groups_of_several_parts_are_spanned(spark):
+    """A chain, in which the first document is linked with few, against a union of all links."""
+    lexicon = [f"w{k}" for k in range(4000)]
+    texts = {k: " ".join(lexicon[4 * k : 4 * k + 100]) for k in range(60)} | {1000 + k: " ".join(lexicon[2000:2100]) + f" x{k}" for k in range(60)}
+    expected = brute_components(word_sets(texts, 3), 85, 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    how = minhash.MinHash(words=3, numerator=85, list_block=7, cluster_block=6)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, how).collect()} == expected
+
+
+def test_minhash_filter_among_rows_that_repeat_an_id(spark):
+    rows = [(1, "b " * 30, "x"), (1, "a " * 30, "y"), (2, None, "z"), (2, "c", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place_ string")
+    assert sorted((r.doc_id, r.place_) for r in minhash.filter_rows(df).collect()) == [(1, "y"), (2, "z")]
