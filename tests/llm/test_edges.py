@@ -592,3 +592,31 @@ def test_minhash_filter_among_rows_that_repeat_an_id(spark):
     rows = [(1, "b " * 30, "x"), (1, "a " * 30, "y"), (2, None, "z"), (2, "c", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, place_ string")
     assert sorted((r.doc_id, r.place_) for r in minhash.filter_rows(df).collect()) == [(1, "y"), (2, "z")]
+
+
+def test_rollup_by_vocabularies(spark):
+    versions = {"byte": BYTE_VOCABULARY, "word": WORD_VOCABULARY}
+    got = token_rollup.maintain(frame(spark), new_path(spark, "r"), back=True, vocabularies=versions).collect()
+    for version, path in versions.items():
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        assert sum(r.n_docs for r in got if r.tokenizer_version == version) == len(pairs())
+        assert sum(r.n_tokens for r in got if r.tokenizer_version == version) == sum(len(t.encode(x or "", add_special_tokens=False).ids) for _, x in pairs())
+    assert token_rollup.maintain(frame(spark, {}), new_path(spark, "r"), back=True, vocabularies=versions).count() == 0
+
+
+def test_rollup_with_two_writers_and_snapshots(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "en", "v1", 10), (None, "en", "v1", 4)], "source string, lang string, tokenizer_version string, n_tokens long")
+    path = new_path(spark, "r")
+    store, other = token_rollup.Rollup(spark, path), token_rollup.Rollup(spark, path)
+    expected = {("a", "en", "v1", 1, 10), (None, "en", "v1", 1, 4)}
+    # both have looked before either has written
+    with monkeypatch.context() as m:
+        m.setattr(other, "_marked", lambda prefix: {})
+        assert store.commit("one", token_rollup.inserts(rows)) and not other.commit("one", token_rollup.inserts(rows))
+    assert {tuple(r) for r in store.totals().collect()} == expected
+    assert store.compact() and len(store._parts()) == 1
+    assert {tuple(r) for r in other.totals().collect()} == expected
+    assert not other.commit("one", token_rollup.inserts(rows))
+    assert other.commit("two", token_rollup.deletes(rows.where("source = 'a'"))) and len(store._parts()) == 2
+    assert store.compact() and {tuple(r) for r in store.totals().collect()} == {(None, "en", "v1", 1, 4)} and store.committed() == ["one", "two"]

@@ -119,3 +119,20 @@ def test_classifier_on_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     rows = [r for r in queries()["op5_quality_classifier"](spark, FOLDER).collect() if r.held_out and r.doc_id in labels]
     assert rows and sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_token_counts_against_the_library(spark):
+    expected = Counter()
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("source", "lang", "text").collect()
+    for version, path in (("byte_bpe_50k", BYTE_VOCABULARY), ("word_bpe_49k", WORD_VOCABULARY)):
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        for r in rows:
+            expected[r.source, r.lang, version, "docs"] += 1
+            expected[r.source, r.lang, version, "tokens"] += len(t.encode(r.text or "", add_special_tokens=False).ids)
+    got = Counter()
+    for r in queries()["op9_token_counts"](spark, FOLDER).collect():
+        got[r.source, r.lang, r.tokenizer_version, "docs"] += r.n_docs
+        got[r.source, r.lang, r.tokenizer_version, "tokens"] += r.n_tokens
+    assert got == expected
