@@ -44,7 +44,7 @@ class MinHash:
     coordinates: int = 64
     miss: float = 1e-4
     #: Documents of a block of a posting list, and documents and shingles of a block of a cluster.
-    list_block: int = 4096
+    list_block: int = 1024
     cluster_block: int = 1024
     block_shingles: int = 1_500_000
 
