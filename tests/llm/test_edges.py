@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator; results against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -620,3 +621,21 @@ def test_rollup_with_two_writers_and_snapshots(spark, monkeypatch):
     assert not other.commit("one", token_rollup.inserts(rows))
     assert other.commit("two", token_rollup.deletes(rows.where("source = 'a'"))) and len(store._parts()) == 2
     assert store.compact() and {tuple(r) for r in store.totals().collect()} == {(None, "en", "v1", 1, 4)} and store.committed() == ["one", "two"]
+
+
+def test_intermediate_tables_go(spark):
+    from weft.llm.storage import materialize, new_path, temporary
+
+    kept = new_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with temporary(spark):
+        held = materialize(spark.range(5), "held")
+        folder = os.path.dirname(held.inputFiles()[0].removeprefix("file://"))
+        assert held.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder) and spark.read.parquet(kept).count() == 3
+
+
+def test_packing_keeps_other_columns(spark):
+    cut = packing.pieces(frame(spark), read_vocabulary(WORD_VOCABULARY)).withColumn("rank", F.lit("r")).withColumn("offset", F.lit(-1)).withColumn("deal", F.lit(7))
+    out = packing.pack(cut).collect()
+    assert {(r.rank, r.deal) for r in out} == {("r", 7)} and min(r.offset for r in out) == 0

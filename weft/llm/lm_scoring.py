@@ -258,6 +258,8 @@ def score(documents: DataFrame, target_ids: DataFrame, how: Bigrams = Bigrams(),
 
     # a document's membership is not needed to score it: both losses are kept until the ids meet the small result
     scored = chunks.groupBy("chunk").cogroup(told.select("chunk", "bucket", "word", "pair").groupBy("chunk")).applyInArrow(run, schema)
-    both = materialize(scored, "losses").join(wanted.withColumn("target", F.lit(True)), "doc_id", "left")
+    losses = materialize(scored, "losses")
+    # rows without an id are in no target, and would all go to one task
+    both = losses.where("doc_id is not null").join(wanted.withColumn("target", F.lit(True)), "doc_id", "left").unionByName(losses.where("doc_id is null").withColumn("target", F.lit(None).cast("boolean")))
     t, b = F.when(F.col("target"), F.col("own_t")).otherwise(F.col("t")), F.when(F.col("target"), F.col("own_b")).otherwise(F.col("b"))
     return both.select("doc_id", "n_words", t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))

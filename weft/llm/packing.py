@@ -110,49 +110,52 @@ def pieces(documents: DataFrame, vocabulary: str, length: int = 4096, end: int |
 
 
 def pack(cut: DataFrame, length: int = 4096) -> DataFrame:
-    """``cut`` (from pieces(), already written: it is read twice) with sequence_id and offset.
+    """``cut`` (from pieces(), already written: it is read twice) with sequence_id and offset; columns of these names are replaced,
+    others are kept. Rows that are equal get places of their own, null ids are ids like others, no rows give none.
 
     Ranks: rows are dealt to ``deals`` parts of each length by a hash, numbered there, and
     shifted by the sizes of the parts before; so a length that a third of all pieces has is
     ranked in many tasks. What the driver gets is one count per length.
     """
     spark = cut.sparkSession
+    own_names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    deal, shift, rank = (c + "_" * max(map(len, own_names)) for c in ("deal", "shift", "rank"))  # no column has these names
     deals = max(16, spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(histogram, length)
     runs.sort(key=lambda r: (r.length, r.first))
     table = np.array([(r.length, r.first, r.count, r.sequence, r.each, r.offset) for r in runs], dtype=np.int64).reshape(-1, 6)
     slots = spark.sparkContext.broadcast(table)
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(deals)))
-    before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = dealt.groupBy("length", "deal").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(own) - 1).join(shifts, ["length", "deal"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("deal", "shift")
-    at, rank_at = ranked.columns.index("length"), ranked.columns.index("rank")
-    names = [c for c in ranked.columns if c != "rank"]
+    dealt = cut.select(*own_names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(deals)).alias(deal))
+    before = Window.partitionBy("length").orderBy(deal).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = dealt.groupBy("length", deal).agg(F.count("*").alias(rank)).select("length", deal, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(shift))
+    own = Window.partitionBy("length", deal).orderBy("doc_id", "piece", "ids_crc32")
+    ranked = dealt.withColumn(rank, F.row_number().over(own) - 1).join(shifts, ["length", deal]).withColumn(rank, F.col(rank) + F.col(shift)).drop(deal, shift)
+    at, rank_at = ranked.columns.index("length"), ranked.columns.index(rank)
+    names = [c for c in ranked.columns if c != rank]
 
     def place(batches):
         runs = slots.value
         for part in batches:
             if not part.num_rows:
                 continue
-            size, rank = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (at, rank_at))
+            size, place_of = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (at, rank_at))
             # the last run whose (length, first) is not above (length, rank)
             first_of = np.searchsorted(runs[:, 0], size, side="left")
             last_of = np.searchsorted(runs[:, 0], size, side="right")
             low, high = first_of, last_of
             while (high - low > 1).any():
                 middle = (low + high) // 2
-                up = (high - low > 1) & (runs[middle, 1] <= rank)
+                up = (high - low > 1) & (runs[middle, 1] <= place_of)
                 low, high = np.where(up, middle, low), np.where(up | (high - low <= 1), high, middle)
             r = runs[low]
-            q = rank - r[:, 1]
+            q = place_of - r[:, 1]
             sequence, offset = r[:, 3] + q // r[:, 4], r[:, 5] + q % r[:, 4] * size
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kinds = dict(ranked.dtypes)
     out = map_batches(ranked, place, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id long, offset long")
-    return out.select(*[c for c in cut.columns], "sequence_id", "offset")
+    return out.select(*own_names, "sequence_id", "offset")
 
 
 def best_fit(documents: DataFrame, vocabulary_path: str, length: int = 4096, end: int | None = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -195,7 +195,10 @@ def score(measured: DataFrame, model: Discriminant, threshold: float = 0.7) -> D
 
 
 def filter_rows(documents: DataFrame, model: Discriminant, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns as they are, that the model does not reject."""
+    """The rows of ``documents``, all columns as they are (``text`` as a string), that the model does not reject.
+
+    A null or empty text is scored from its zeros; equal rows stay or go together; ids do not matter; an empty table gives none.
+    """
     plain = documents.withColumn(text, F.col(f"`{text}`").cast("string"))
     at = plain.columns.index(text)
 

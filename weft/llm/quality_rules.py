@@ -134,7 +134,10 @@ def judge(documents: DataFrame, bands: Bands = Bands(), key: str = "doc_id", tex
 
 
 def filter_rows(documents: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns as they are, whose text is kept. Each is judged where it is read."""
+    """The rows of ``documents``, all columns as they are (``text`` as a string), whose text is kept. Each is judged where it is read.
+
+    A null or empty text goes; equal rows stay or go together; ids do not matter; an empty table gives none.
+    """
 
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=bands.level)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -34,8 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+#: Folders that are in use by a caller of temporary().
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Intermediate tables that are made inside are deleted on leaving, on success and on failure: write the results before."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _MADE[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _MADE[before:]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -158,7 +158,11 @@ def write(documents: DataFrame, vocabulary_path: str, path: str, end: int | None
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids): one row per document, read from the shards."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids): one row per document, read from the shards.
+
+    Documents without an id come first and have a null one; an empty text has what was written for it (the end id, if any);
+    repeated rows are documents of their own; a folder without shards must have been written by write(), and gives no rows.
+    """
     shards = spark.read.parquet(path)
     # one row per task that wrote: bounded by the number of partitions, and so broadcast; the payloads are not shuffled
     parts = shards.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
