@@ -1,6 +1,7 @@
 """Corpus pipeline: quality classifier, quality rules, near-dedup, packing.
 
-Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All columns of
+docs are kept as they are, whatever their names, by all stages but the last. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -13,24 +14,30 @@ from weft.llm.storage import materialize
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant rejects go. It learns from the labelled rows of ``docs`` outside of the held-out quarter."""
+    """Documents that the discriminant rejects go. It learns from the labelled rows of ``docs`` outside of the held-out quarter.
+
+    A null or empty text is scored from its zeros; equal rows stay or go together; without labels every score is 0.5, so that all go.
+    """
     measured = materialize(quality_classifier.features(docs), "features")
     model = quality_classifier.train(measured, table(spark, sf_dir, "labels"), ~quality_classifier.held_out())
     return quality_classifier.filter_rows(docs, model)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands or the base rules reject go."""
+    """Documents that the compression bands or the base rules reject go; null and empty texts are among them."""
     return quality_rules.filter_rows(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five words, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays, the one with the least id: five words, similarity of 0.8 or more.
+
+    Of rows that repeat an id, the one with the least text; rows without an id stay.
+    """
     return minhash.filter_rows(docs, minhash.MinHash(words=5, numerator=80))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the documents in sequences of 4096 tokens."""
+    """Places of all pieces of the documents in sequences of 4096 tokens. A null or empty text is one piece, its end id."""
     return packing.best_fit(docs, WORD_VOCABULARY)
 
 
