@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -40,8 +42,22 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; a worker gives back what a task has freed, as it waits for other stages next to the executor's heap."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep what they have
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def key_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

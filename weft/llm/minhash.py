@@ -149,8 +149,8 @@ def _spanned(dealt: DataFrame, key: str, sizes: DataFrame, total: int, payload:
 
     ``dealt``: from _dealt, with ``payload``. ``linker`` makes the test for _reach from a table. A group of several parts is
     dealt to as many tasks, and its first node's row to all of them. What a part ties to the first node is done: it meets
-    other parts only through rows that are not tied to it, which are sent to every part. So a group of copies of one text
-    moves about once, whatever its size.
+    other parts only through rows that are not tied to it, which are sent to every part, in blocks as large as a part. So a
+    group of copies of one text moves about once, whatever its size, and no task holds more than two parts' rows.
     """
     columns = ["node", *payload]
 
@@ -186,9 +186,13 @@ def _spanned(dealt: DataFrame, key: str, sizes: DataFrame, total: int, payload:
 
     first = materialize(map_batches(grouped(mine.unionByName(elsewhere(many.where("node = first")))), lambda batches: forest(batches, True), schema), "first")
     left = first.where("b is null").select(key, F.col("a").alias("node")).distinct()
-    # groups that are done are not read again
-    still = sizes.select(key, "n").join(left.select(key).distinct(), key)
-    open_ = salted_join(mine, still, [key], F.xxhash64("node"), total).unionByName(elsewhere(many.join(left, [key, "node"])))
+    # the rest of a group meets its parts in blocks as large as a part; groups that are done are not read again
+    rest = left.groupBy(key).agg(F.count("*").alias("m")).join(sizes.select(key, "n", F.col("parts").alias("p")), key)
+    rest = rest.select(key, "n", F.ceil(F.col("m") * F.col("p") / F.col("n")).cast("int").alias("blocks"))
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    still = salted_join(mine, rest, [key], F.xxhash64("node"), total).withColumn("block", block)
+    moved = elsewhere(salted_join(many.join(left, [key, "node"]), rest, [key], F.xxhash64("node"), total)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    open_ = still.unionByName(moved).withColumn("part", F.col("part").cast("long") * F.col("blocks") + F.col("block"))
     last = map_batches(grouped(open_), lambda batches: forest(batches, False), schema)
     return edges.unionByName(first.where("b is not null")).unionByName(last).select("a", "b").distinct()
 

@@ -36,7 +36,7 @@ PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: Below this character, normal forms and letter classes are the same in every version of Unicode.
 _LATIN = re.compile("[\x00-ɏ]*")
 #: Pieces that a worker remembers: two halves, the older one goes when the newer one is full. As many parts.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Longer pieces are rare and are encoded without being remembered.
 LONGEST_CACHED = 64
 
