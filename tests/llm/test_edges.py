@@ -639,3 +639,16 @@ def test_packing_keeps_other_columns(spark):
     cut = packing.pieces(frame(spark), read_vocabulary(WORD_VOCABULARY)).withColumn("rank", F.lit("r")).withColumn("offset", F.lit(-1)).withColumn("deal", F.lit(7))
     out = packing.pack(cut).collect()
     assert {(r.rank, r.deal) for r in out} == {("r", 7)} and min(r.offset for r in out) == 0
+
+
+@pytest.mark.parametrize("path", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_encoders_on_cuts(path):
+    """White space, commas, stops and control characters in every order, many texts at a time."""
+    draw = random.Random(3)
+    parts = ["a", "The", "İ", "'s", "Ünï", "中", "é", "é", "12", "…", "!!", ".", ",", ",", " ,", "3.14", "\x00", "\x01", "\x1c", "​", " ", "　", "\xa0", "\n", "\n\n", " ", " ", "  ", "\t", "<|endoftext|>", "—."]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(4000)] + ["", " ", "\n", ",", "\x00", "\x01,", "\x00,"]
+    t = Tokenizer.from_file(path)
+    coder = CachedEncoder(read_vocabulary(path), 500)
+    for at in range(0, len(texts), 111):
+        some = texts[at : at + 111]
+        assert coder.encode([x.encode() for x in some]) == [u32(t.encode(x, add_special_tokens=False).ids) for x in some]

@@ -23,6 +23,8 @@ from weft.llm.arrow import as_bytes, key_and_text, map_batches, sized
 from weft.llm.storage import materialize
 from weft.llm.tokenize import encoder, read_vocabulary
 
+#: Text that a worker encodes at a time, about.
+SLICE_BYTES = 1 << 21
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,14 +97,16 @@ def pieces(documents: DataFrame, vocabulary: str, length: int = 4096, end: int |
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
-        encode = encoder(shipped.value).encode
-        for part in sized(batches, 1):
+        coder = encoder(shipped.value)
+        for part in sized(batches, 1, SLICE_BYTES):
             rows: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), encode(as_bytes(part.column(1))), strict=True):
-                ids += tail
+            found, ends = coder.arrays(as_bytes(part.column(1)))
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            for doc, b, e in zip(part.column(0).to_pylist(), begins.tolist(), ends.tolist(), strict=True):
+                ids = found[b:e].tobytes() + tail
                 for at in range(0, len(ids), step):
                     own = ids[at : at + step]
-                    rows.append((doc, at // step, at // 4, len(own) // 4, zlib.crc32(own), own))
+                    rows.append((doc, at // step, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)], strict=False)], names=names)
 

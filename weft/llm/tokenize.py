@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -100,7 +101,9 @@ class CachedEncoder:
         if steps[-1].get("add_prefix_space") or not {*forms} <= {"NFC", "Replace", "Lowercase"}:
             raise ValueError("a vocabulary whose texts cannot be cut at white space")
         self.letters = {x: c for c, x in byte_letters().items()}
-        self.plain_words = not (self.words_only or self.lower)
+        self.before_word = "" if self.words_only else self.letters[0x20]
+        some = ("" if self.words_only else " ") + string.ascii_lowercase
+        self.plain_words = self.words_only == self.lower and self.parts.findall(some) == [some]
         self._remember(pieces)
 
     def _remember(self, pieces: int) -> None:
@@ -119,13 +122,13 @@ class CachedEncoder:
         """What a piece stands for; bytes are a name that ``_cut`` gave."""
         if isinstance(piece, str):
             return piece
-        if self.words_only or piece[:1] == b"\n":
-            return piece.decode()
-        return piece[1:].decode() if piece[:1] in (b"\0", b"\1") else " " + piece.decode()
+        if piece[:1] == b"\1" or piece[:1] == b"\0" and not self.words_only:
+            return piece[1:].decode()
+        return piece.decode() if self.words_only or piece[:1] == b"\n" else " " + piece.decode()
 
     def _learn(self, piece: str | bytes) -> bytes:
         if self.plain_words and isinstance(piece, bytes) and piece.isalpha():  # ASCII letters after a space: one pre-token
-            return self._ids(self.letters[0x20] + piece.decode())
+            return self._ids(self.before_word + piece.decode())
         text = self._text(piece)
         if not text.isascii() and not _LATIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -154,26 +157,25 @@ class CachedEncoder:
         low = text.lower() if self.lower else text
         if any(x in low for x in self.special):
             return self._whole(text)
-        return b"".join(map(self.memory.__getitem__, low.split() if self.words_only else _PIECES.findall(text.decode())))
+        return b"".join(map(self.memory.__getitem__, map(bytes.decode, low.split()) if self.words_only else _PIECES.findall(text.decode())))
 
     def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         """All pieces of the texts in order, and how many each text has.
 
-        Without words only, a piece is named by what follows a space. One that begins with a line end
-        keeps it, one that opens a text has a zero byte in front, and one that begins with a comma or
-        a full stop in the midst of a word has a byte 1 in front.
+        One that begins with a comma or a full stop has a byte 1 in front. Without words only, a piece is
+        named by what follows a space; one that begins with a line end keeps it, and one that opens a
+        text has a zero byte in front.
         """
         if self.words_only:
-            joined = [x.lower() if self.lower else x for x in texts]
+            joined = [(x.lower() if self.lower else x).replace(b",", b" \1,").replace(b".", b" \1.") for x in texts]
             found = pc.ascii_split_whitespace(pa.array(joined, pa.binary()).view(pa.string()))
             return found.flatten().view(pa.binary()), np.diff(found.offsets.to_numpy()).astype(np.int64)
         n = np.fromiter((1 + sum(map(x.count, (b" ", b"\n", b",", b"."))) for x in texts), dtype=np.int64, count=len(texts))
         joined = (b"\0" + b" \0".join(texts)).replace(b"\n", b" \n").replace(b",", b" \1,").replace(b".", b" \1.")
         return pc.split_pattern(pa.array([joined], pa.binary()), " ").flatten(), n
 
-    @staticmethod
-    def _doubtful(names: pa.Array, at: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Pieces with no sure cut after them (white space, if it does not end a text) or before them (in the midst of a word, if no letter or number comes first)."""
+    def _doubtful(self, names: pa.Array, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Pieces with no sure cut after them (white space that is kept, if it does not end a text) or before them (a comma or a full stop, if no letter or number comes first)."""
         ends = np.frombuffer(names.buffers()[1], dtype=np.int32)[: len(names) + 1]
         data = np.frombuffer(names.buffers()[2], dtype=np.uint8)
         some = np.diff(ends) > 0
@@ -182,10 +184,17 @@ class CachedEncoder:
         space, solid = _BYTE_SPACE[tail], _BYTE_SOLID[tail]
         for i in np.flatnonzero(tail >= 0x80).tolist():
             end = names[i].as_py()[-4:].decode(errors="ignore")[-1:]
-            space[i], solid[i] = end.encode() in _ENDS, end < "ɐ" and end.isalpha()
-        out = space[at]
-        out[last] = False
-        out[1:] |= (head == 1)[at[1:]] & ~solid[at[:-1]]
+            space[i], solid[i] = end.encode() in _ENDS, end < "ɐ" and (end + end.lower()[-1:]).isalpha()  # a small letter can end in a mark
+        inside = (head == 1)[at]
+        if self.words_only:
+            solid[tail == 0] = False  # a zero byte opens no text here
+            solid[~some] = True  # white space before
+            inside[first] = False
+            out = np.zeros(len(at), dtype=bool)
+        else:
+            out = space[at]
+            out[last] = False
+        out[1:] |= inside[1:] & ~solid[at[:-1]]
         return out
 
     def arrays(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +202,7 @@ class CachedEncoder:
         if not texts:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         low = [x.lower() for x in texts] if self.lower else texts
-        mark = self.special if self.words_only else [*self.special, b"\0", b"\1"]
+        mark = [*self.special, b"\1"] if self.words_only else [*self.special, b"\0", b"\1"]
         alone = np.fromiter((any(x in t for x in mark) for t in low), dtype=bool, count=len(texts))
         pieces, n = self._cut([b"" if x else t for t, x in zip(texts, alone.tolist(), strict=True)])
         coded = pieces.dictionary_encode()
@@ -203,8 +212,7 @@ class CachedEncoder:
             self.memory = _Memory(self._learn, dict(self.memory))
         length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         begin, pieces_end = np.cumsum(length) - length, np.cumsum(n)
-        if not self.words_only:
-            alone |= np.add.reduceat(self._doubtful(names, at, pieces_end - 1), pieces_end - n, dtype=np.int64) > 0
+        alone |= np.add.reduceat(self._doubtful(names, at, pieces_end - n, pieces_end - 1), pieces_end - n, dtype=np.int64) > 0
         count = length[at]
         total = np.concatenate([[0], np.cumsum(count)])
         ends = total[pieces_end]
