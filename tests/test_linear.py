@@ -5,7 +5,7 @@ import pytest
 
 from weft.errors import BadLogic, TooLarge
 from weft.functions import generators as g
-from weft.operators import blas, fft, solve, spectral, structured
+from weft.operators import blas, decomposition, fft, solve, spectral, structured
 from weft.operators.structured import BlockTensor, TiledTensor
 from weft.plans.contraction import einsum
 from weft.sources import tables
@@ -52,6 +52,25 @@ def test_small_singular_values_of_a_long_matrix(spark, monkeypatch):
     assert np.allclose(s.to_numpy(), [1.0, 1e-6, 1e-11], rtol=1e-4, atol=0)
 
 
+def _few_cells(monkeypatch):
+    """A long side's factor goes to the driver, its square does not."""
+    monkeypatch.setattr("weft.tensor.LOCAL_CELLS", 150)
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_initial_factors_of_a_long_side(spark, monkeypatch, name):
+    x = LONG[name]
+    u, s, vh = np.linalg.svd(x, full_matrices=False)
+    _few_cells(monkeypatch)
+    first, second = decomposition.initialize_cp(tensor(spark, x), 3)
+    assert first.shape == (45, 3) and second.shape == (4, 3)
+    k = int((s > 1e-6).sum())
+    for found, expected in ((first[:, :k], (u * s)[:, : min(k, 3)]), (second[:, :k], vh.T[:, : min(k, 3)])):
+        length = np.linalg.norm(expected, axis=0)
+        assert np.allclose(np.linalg.norm(found, axis=0), length) and np.allclose(np.abs((found.conj() * expected).sum(axis=0)), length**2)
+    assert np.allclose(first[:, k:], 0, atol=1e-5)
+
+
 def test_equations_with_dependent_eigenvectors(spark):
     x = np.array([[2.0, 1, 0], [0, 2, 1], [0, 0, 2]])
     a, c = tensor(spark, x), _draw(3, 3)

@@ -9,6 +9,7 @@ import numpy as np
 from weft.errors import BadLogic, RankError
 from weft.operators.blas import LETTERS, weight
 from weft.operators.elementwise import rmsd
+from weft.operators.local import canonical_columns
 from weft.operators.shape import unfold
 from weft.operators.spectral import gram
 from weft.plans.contraction import einsum
@@ -28,12 +29,22 @@ def parafac_reconstruct(factors: Sequence[Tensor]) -> Tensor:
     return einsum(",".join(f"{m}z" for m in modes) + f"->{modes}", *factors)
 
 
-def _leading(folded: Tensor, rank: int) -> np.ndarray:
-    """Eigenvectors of the largest eigenvalues of x x^H, descending."""
-    w, v = np.linalg.eigh(gram(folded, "rows").to_numpy())
-    v = v[:, ::-1][:, :rank]
-    top = np.abs(v).argmax(axis=0)
-    return v * np.sign(v[top, np.arange(v.shape[1])] + (v[top, np.arange(v.shape[1])] == 0))
+def _leading(folded: Tensor, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues of x x^H, descending, and their eigenvectors, from the Gram matrix of x's shorter side.
+
+    Where the columns are fewer, x maps the eigenvectors of x^H x to these: rows times rank numbers reach the driver, not rows
+    squared. What x maps to nothing, and what goes beyond the columns, is filled up to an orthonormal set.
+    """
+    m, n = folded.dims
+    rank = min(rank, m)
+    w, v = np.linalg.eigh(gram(folded, "rows" if m <= n else "columns").to_numpy())
+    w, v = np.maximum(w[::-1][:rank], 0), v[:, ::-1][:, :rank]
+    if m > n:
+        found = einsum("ik,kj->ij", folded, Tensor.from_numpy(folded.spark, v)).to_numpy()
+        missing = rank - found.shape[1]
+        v = np.linalg.qr(np.pad(found, ((0, 0), (0, missing))))[0]
+        w = np.pad(w, (0, missing))
+    return w, canonical_columns(v)[0]
 
 
 def initialize_cp(t: Tensor, rank: int, seed: int = 0) -> list[np.ndarray]:
@@ -41,11 +52,9 @@ def initialize_cp(t: Tensor, rank: int, seed: int = 0) -> list[np.ndarray]:
     draw = np.random.default_rng(seed)
     out = []
     for k in range(t.rank):
-        x = unfold(t, k)
-        v = _leading(x, rank)
+        values, v = _leading(unfold(t, k), rank)
         if k == 0:
-            values = np.linalg.eigvalsh(gram(x, "rows").to_numpy())[::-1][: v.shape[1]]
-            v = v * np.sqrt(np.maximum(values, 0))
+            v = v * np.sqrt(values)
         if v.shape[1] < rank:
             v = np.hstack([v, draw.uniform(-1, 1, (v.shape[0], rank - v.shape[1]))])
         out.append(v)
@@ -123,7 +132,7 @@ def initialize_tucker(t: Tensor, ranks: Sequence[int]) -> list[np.ndarray]:
     """Leading left singular vectors of each unfolding."""
     if len(ranks) != t.rank:
         raise RankError(f"{len(ranks)} ranks for rank {t.rank}")
-    return [_leading(unfold(t, k), r) for k, r in enumerate(ranks)]
+    return [_leading(unfold(t, k), r)[1] for k, r in enumerate(ranks)]
 
 
 def _project(t: Tensor, factors: Sequence[np.ndarray], skip: int = -1) -> Tensor:
@@ -149,7 +158,7 @@ def tucker_ho_oi(t: Tensor, ranks: Sequence[int], n_iter: int = 100, tol: float
     for _ in range(n_iter):
         new = list(factors)
         for mode in range(t.rank):
-            new[mode] = _leading(unfold(_project(t, new, mode), mode), ranks[mode])
+            new[mode] = _leading(unfold(_project(t, new, mode), mode), ranks[mode])[1]
         after = _project(t, new).to_numpy()
         change = max(float(np.sqrt(((a - b) ** 2).mean())) for a, b in zip([after, *new], [core, *factors], strict=True))
         factors, core = new, after
