@@ -71,6 +71,19 @@ def test_initial_factors_of_a_long_side(spark, monkeypatch, name):
     assert np.allclose(first[:, k:], 0, atol=1e-5)
 
 
+def _product_of_three():
+    return [np.abs(_draw(n)) + 0.5 for n in (45, 3, 2)]
+
+
+def test_parafac_of_a_long_first_index(spark, monkeypatch):
+    a, b, c = _product_of_three()
+    x = np.einsum("i,j,k->ijk", a, b, c)
+    _few_cells(monkeypatch)
+    factors = [f.to_numpy() for f in decomposition.parafac(tensor(spark, x), 1, 3)]
+    assert [f.shape for f in factors] == [(45, 1), (3, 1), (2, 1)]
+    assert np.allclose(np.einsum("iz,jz,kz->ijk", *factors), x)
+
+
 def test_equations_with_dependent_eigenvectors(spark):
     x = np.array([[2.0, 1, 0], [0, 2, 1], [0, 0, 2]])
     a, c = tensor(spark, x), _draw(3, 3)
