@@ -84,6 +84,15 @@ def test_parafac_of_a_long_first_index(spark, monkeypatch):
     assert np.allclose(np.einsum("iz,jz,kz->ijk", *factors), x)
 
 
+def test_weighted_parafac_of_a_long_first_index(spark, monkeypatch):
+    a, b, c = _product_of_three()
+    x = np.einsum("i,j,k->ijk", a, b, c)
+    _few_cells(monkeypatch)
+    factors = [f.to_numpy() for f in decomposition.weighted_parafac(tensor(spark, x), tensor(spark, np.arange(1.0, 46.0)), 1, 3)]
+    assert [f.shape for f in factors] == [(45, 1), (3, 1), (2, 1)]
+    assert np.allclose(np.einsum("iz,jz,kz->ijk", *factors), x)
+
+
 def test_equations_with_dependent_eigenvectors(spark):
     x = np.array([[2.0, 1, 0], [0, 2, 1], [0, 0, 2]])
     a, c = tensor(spark, x), _draw(3, 3)
