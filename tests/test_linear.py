@@ -75,6 +75,20 @@ def _product_of_three():
     return [np.abs(_draw(n)) + 0.5 for n in (45, 3, 2)]
 
 
+@pytest.mark.parametrize("name", list(LONG))
+def test_initial_tucker_factors_of_a_long_side(spark, monkeypatch, name):
+    x = LONG[name]
+    u = np.linalg.svd(x)[0]
+    _few_cells(monkeypatch)
+    first, second = decomposition.initialize_tucker(tensor(spark, x), (3, 4))
+    assert np.allclose(first.conj().T @ first, np.eye(3)) and np.allclose(second.conj().T @ second, np.eye(4))
+    k = min(3, np.linalg.matrix_rank(x))
+    assert np.allclose(np.abs((first.conj() * u[:, :3]).sum(axis=0))[:k], 1)
+    # more vectors than columns: the rest completes them
+    more = decomposition.initialize_tucker(tensor(spark, x[:30]), (6, 1))[0]
+    assert more.shape == (30, 6) and np.allclose(more.conj().T @ more, np.eye(6))
+
+
 def test_parafac_of_a_long_first_index(spark, monkeypatch):
     a, b, c = _product_of_three()
     x = np.einsum("i,j,k->ijk", a, b, c)
