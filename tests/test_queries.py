@@ -29,6 +29,12 @@ def test_against_sql(spark, name):
     assert order(found).equals(order(expected))
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_batches_shuffle_no_products(spark):
+    assert "Join" not in queries.queries()["einsum_batch"](spark, FOLDER)._jdf.queryExecution().toString()
+    test_against_sql(spark, "einsum_batch")
+
+
 def test_every_query_without_sql_is_meant():
     assert set(queries.queries()) - set(queries.oracle_sql()) == {"parafac_fit", "tucker_fit"}
 

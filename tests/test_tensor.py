@@ -87,6 +87,35 @@ def test_complex(spark):
         a.cast("float64")
 
 
+@pytest.mark.parametrize("spec", ["bik,bjk->bij", "kbi,jbk->jib", "bk,bjk->bj", "cbik,bckj->jcbi"])
+def test_blocked_batches(spark, monkeypatch, spec):
+    from weft.plans import blocked
+
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(blocked, "BLOCK_CELLS", 8)
+    monkeypatch.setattr(blocked, "EMIT_ROWS", 5)
+    sizes = dict(b=3, c=2, i=7, j=6, k=4)
+    la, lb = spec.split("->")[0].split(",")
+    draw = np.random.default_rng(8)
+    x, y = (np.where(draw.random(d) < 0.4, draw.integers(-2, 3, d), 0.0) for d in ([sizes[c] for c in l] for l in (la, lb)))
+    a, b = (tensor(spark, z) for z in (x, y))
+    found, plain = einsum(spec, a, b, blocked=True), einsum(spec, a, b)
+    same(found, np.einsum(spec, x, y))
+    # the same rows, with zeros where products cancel; none where nothing meets
+    assert sorted(map(tuple, found.df.collect())) == sorted(map(tuple, plain.df.collect()))
+    plan = found.df._jdf.queryExecution().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_blocked_batches_of_odd_rows(spark):
+    rows = [(0, 0, 0, float("inf")), (0, 0, 1, 1.0), (0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, None, 1, 4.0), (1, 2, 0, float("nan")), (1, 3, 1, 1.0), (None, 4, 0, 1.0), (1, 3, 0, None)]
+    t = Tensor.of(spark.createDataFrame(rows, "b int, i bigint, k int, v double"), ["b", "i", "k"], "v", (2, 5, 2))
+    order = lambda e: sorted(map(str, (tuple(r) for r in e.df.collect())))
+    assert order(einsum("bik,bjk->bij", t, t, blocked=True)) == order(einsum("bik,bjk->bij", t, t))
+    none = t.with_rows(t.df.limit(0))
+    assert einsum("bik,bjk->bij", none, t, blocked=True).df.count() == 0 == einsum("bik,bjk->bij", t, none, blocked=True).df.count()
+
+
 def test_batched_and_blocked(spark):
     x, y = draw(3, 4, 2), draw(3, 2, 5, seed=2)
     same(batched(Plan("ij", "ik", "kj"), tensor(spark, x), tensor(spark, y)), np.einsum("bik,bkj->bij", x, y))

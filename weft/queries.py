@@ -179,7 +179,7 @@ def einsum_hadamard_out(s, d):
 @query(f"SELECT a.b AS i0, a.i AS i1, c.i AS i2, round(sum(a.v * c.v), 6) + 0.0 AS v FROM {EL} a JOIN {EL} c USING (b, k) GROUP BY 1, 2, 3")
 def einsum_batch(s, d):
     e = src.features_by_label(s, d)
-    return _rounded(einsum("bik,bjk->bij", e, e).df)
+    return _rounded(einsum("bik,bjk->bij", e, e, blocked=True).df)
 
 
 @query(f"SELECT i0, i1, coalesce(2.0 * w.v, 0.0) + coalesce(0.5 * n.v, 0.0) AS v FROM (SELECT i AS i0, j AS i1, v FROM {W}) w FULL JOIN (SELECT a.i AS i0, b.j AS i1, sum(a.v * b.v) AS v FROM {W} a JOIN {U} b ON b.i = a.j GROUP BY 1, 2) n USING (i0, i1)")
