@@ -89,6 +89,45 @@ def test_initial_tucker_factors_of_a_long_side(spark, monkeypatch, name):
     assert more.shape == (30, 6) and np.allclose(more.conj().T @ more, np.eye(6))
 
 
+def _no_factor_on_the_driver(monkeypatch):
+    """Not even a factor of a long side fits the driver."""
+    monkeypatch.setattr("weft.tensor.LOCAL_CELLS", 100)
+    monkeypatch.setattr(decomposition, "FACTOR_CELLS", 40)
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_initial_factors_that_stay_in_spark(spark, monkeypatch, name):
+    x = LONG[name]
+    t = tensor(spark, x)
+    with monkeypatch.context() as m:
+        _no_factor_on_the_driver(m)
+        first, second = decomposition.initialize_tucker(t, (3, 4), gathered=False)
+        more = decomposition.initialize_tucker(t, (6, 1), gathered=False)[0]
+        scaled = decomposition.initialize_cp(t, 3, gathered=False)[0]
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    k = int((s > 1e-6).sum())
+    for q, n in ((first, 3), (second, 4), (more, 6)):
+        q = q.to_numpy()
+        assert q.shape[1] == n and np.allclose(q.conj().T @ q, np.eye(n), atol=1e-12)
+        top = q[np.abs(q).argmax(axis=0), np.arange(n)]
+        assert np.allclose(top.imag, 0) and (top.real > 0).all()
+    for q in (first, more):
+        q = q.to_numpy()[:, : min(k, 3)]
+        assert np.allclose(np.abs((q.conj() * u[:, : q.shape[1]]).sum(axis=0)), 1)
+    assert np.allclose(np.abs(scaled.to_numpy()), np.abs((u * s)[:, :3]), atol=1e-5)
+
+
+def test_initial_tucker_factors_of_far_keys(spark):
+    """Few rows whose numbers are as far apart as keys of a table: no array as long as the largest of them."""
+    x, step = LONG["full"], 10**10
+    t = tensor(spark, x)
+    far = t.with_rows(t.df.selectExpr(f"i0 * {step} AS i0", "i1", "v"), (45 * step, 4))
+    q = decomposition.initialize_tucker(far, (2, 1), gathered=False)[0]
+    assert q.dims == (45 * step, 2)
+    expected = decomposition.initialize_tucker(t, (2, 1))[0]
+    assert np.allclose(q.with_rows(q.df.selectExpr(f"i0 div {step} AS i0", "i1", "v"), (45, 2)).to_numpy(), expected)
+
+
 def test_parafac_of_a_long_first_index(spark, monkeypatch):
     a, b, c = _product_of_three()
     x = np.einsum("i,j,k->ijk", a, b, c)

@@ -59,6 +59,12 @@ def scratch(spark, label: str) -> str:
     return f"{root.rstrip('/')}/{settings.get('file-name', default='weft')}-{label}-{uuid.uuid4().hex}"
 
 
+def forget(spark, path: str) -> None:
+    """Deletes a folder that ``scratch`` named and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 #: Seconds and calls of each section.
 sections: dict[str, list] = defaultdict(lambda: [0.0, 0])
 

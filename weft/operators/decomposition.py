@@ -1,11 +1,14 @@
-"""CP and Tucker decompositions. What is as large as the tensor is contracted by Spark; what has the size of a factor is solved on the driver."""
+"""CP and Tucker decompositions. What is as large as the tensor is contracted by Spark; what has the size of a factor is solved on
+the driver, up to ``FACTOR_CELLS``. A longer factor stays in Spark: the driver sees matrices of rank by rank, whatever its keys are."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from weft.config import forget, scratch
 from weft.errors import BadLogic, RankError
 from weft.operators.blas import LETTERS, weight
 from weft.operators.elementwise import rmsd
@@ -15,6 +18,12 @@ from weft.operators.spectral import gram
 from weft.plans.contraction import einsum
 from weft.tensor import Tensor, require
 
+#: Cells of a factor up to which the driver holds it: 8 MB of doubles. They are counted by the dimension, as absent rows are zeros there.
+FACTOR_CELLS = 1 << 20
+
+#: A factor: on the driver, or a tensor in Spark.
+Factor = np.ndarray | Tensor
+
 
 def weight_tensor(t: Tensor, w: Tensor) -> Tensor:
     """Scale along the first index."""
@@ -29,38 +38,108 @@ def parafac_reconstruct(factors: Sequence[Tensor]) -> Tensor:
     return einsum(",".join(f"{m}z" for m in modes) + f"->{modes}", *factors)
 
 
-def _leading(folded: Tensor, rank: int) -> tuple[np.ndarray, np.ndarray]:
+def _tensor(t: Tensor, f: Factor) -> Tensor:
+    return f if isinstance(f, Tensor) else Tensor.from_numpy(t.spark, f)
+
+
+def _kept(t: Tensor) -> tuple[Tensor, str]:
+    """Written once and read again, so that no reader makes it anew; and where it is."""
+    path = scratch(t.spark, "factor")
+    t.df.write.parquet(path)
+    return t.with_rows(t.spark.read.parquet(path)), path
+
+
+def _leading(folded: Tensor, rank: int) -> tuple[np.ndarray, Factor]:
     """Largest eigenvalues of x x^H, descending, and their eigenvectors, from the Gram matrix of x's shorter side.
 
-    Where the columns are fewer, x maps the eigenvectors of x^H x to these: rows times rank numbers reach the driver, not rows
-    squared. What x maps to nothing, and what goes beyond the columns, is filled up to an orthonormal set.
+    Where the columns are fewer, x maps the eigenvectors of x^H x to these: rows times rank numbers, which reach the driver only
+    if they are few. What x maps to nothing, and what goes beyond the columns, is filled up to an orthonormal set.
     """
     m, n = folded.dims
     rank = min(rank, m)
     w, v = np.linalg.eigh(gram(folded, "rows" if m <= n else "columns").to_numpy())
     w, v = np.maximum(w[::-1][:rank], 0), v[:, ::-1][:, :rank]
     if m > n:
-        found = einsum("ik,kj->ij", folded, Tensor.from_numpy(folded.spark, v)).to_numpy()
-        missing = rank - found.shape[1]
-        v = np.linalg.qr(np.pad(found, ((0, 0), (0, missing))))[0]
+        found = einsum("ik,kj->ij", folded, Tensor.from_numpy(folded.spark, v))
+        missing = rank - found.dims[1]
         w = np.pad(w, (0, missing))
+        if m * rank > FACTOR_CELLS and rank**2 <= m:
+            return w, _orthonormal(found, rank)
+        v = np.linalg.qr(np.pad(found.to_numpy(), ((0, 0), (0, missing))))[0]
     return w, canonical_columns(v)[0]
 
 
-def initialize_cp(t: Tensor, rank: int, seed: int = 0) -> list[np.ndarray]:
-    """Leading eigenvectors of each unfolding; the first mode's are scaled by the roots of their eigenvalues; missing columns are drawn."""
+def _orthonormal(x: Tensor, rank: int) -> Tensor:
+    """Orthonormal columns that span those of x in their order, filled up to ``rank`` (its square is at most the rows). Signs as of
+    ``canonical_columns``. x has nearly orthogonal columns of descending length; from the first of nearly no length on they are filled up.
+
+    Columns are combined by the inverse Cholesky factor of their Gram matrix, twice, as the first time leaves small errors.
+    """
+    x, path = _kept(x)
+    g = gram(x, "columns").to_numpy()
+    lengths = np.diag(g).real
+    short = np.flatnonzero(~(lengths > 1e3 * np.finfo(float).eps * len(g) * lengths.max(initial=0.0)))
+    k = int(short[0]) if len(short) else len(g)
+    scale = 1 / np.sqrt(lengths[:k])
+    turn = np.zeros((len(g), k), dtype=g.dtype)
+    turn[:k] = scale[:, None] * _inverse_root(g[:k, :k] * scale[:, None] * scale)
+    q, again = _kept(einsum("ij,jk->ik", x, Tensor.from_numpy(x.spark, turn)))
+    forget(x.spark, path)
+    turn = _inverse_root(gram(q, "columns").to_numpy())
+    added = None
+    if rank > k:
+        # unit vectors of rows in which the others have least, less their parts along the others: of so many rows, those that are
+        # taken have squares that add up to half at most
+        head = q.view((0, (rank - k) * (2 * k + 1))).to_numpy() @ turn
+        rows = np.argsort((np.abs(head) ** 2).sum(axis=1), kind="stable")[: rank - k]
+        along = head[rows]
+        w, v = np.linalg.eigh(np.eye(len(rows)) - along @ along.conj().T)
+        root = v / np.sqrt(w) @ v.conj().T
+        turn = np.hstack([turn, -turn @ along.conj().T @ root])
+        unit = Tensor.from_numpy(x.spark, np.hstack([np.zeros((len(rows), k)), root]))
+        number = F.element_at(F.array(*(F.lit(int(r)).cast("bigint") for r in rows)), (F.col("i0") + 1).cast("int"))
+        added = unit.with_rows(unit.df.select(number.alias("i0"), "i1", "v"), (q.dims[0], rank))
+    out = einsum("ij,jk->ik", q, Tensor.from_numpy(x.spark, turn))
+    if added is not None:
+        out, path = _kept(out + added)
+        forget(x.spark, again)
+    top = out.df.groupBy("i1").agg(F.max_by("v", F.struct(out.kind.abs(F.col("v")).alias("size"), -F.col("i0"))).alias("v"))
+    top = Tensor(top.select(F.col("i1").alias("i0"), "v"), (rank,), out.dtype).to_numpy()
+    return _columns_times(out, np.where(np.abs(top) > 0, np.abs(top) / np.where(top == 0, 1, top), 1))
+
+
+def _inverse_root(g: np.ndarray) -> np.ndarray:
+    """r with r^H g r the identity, upper triangular."""
+    return np.linalg.inv(np.linalg.cholesky(g)).conj().T
+
+
+def _columns_times(f: Factor, x: np.ndarray) -> Factor:
+    return einsum("ij,j->ij", f, Tensor.from_numpy(f.spark, x)) if isinstance(f, Tensor) else f * x
+
+
+def _initial(t: Tensor, rank: int, seed: int) -> list[Factor]:
     draw = np.random.default_rng(seed)
     out = []
     for k in range(t.rank):
         values, v = _leading(unfold(t, k), rank)
         if k == 0:
-            v = v * np.sqrt(values)
-        if v.shape[1] < rank:
+            v = _columns_times(v, np.sqrt(values))
+        if not isinstance(v, Tensor) and v.shape[1] < rank:
             v = np.hstack([v, draw.uniform(-1, 1, (v.shape[0], rank - v.shape[1]))])
         out.append(v)
     return out
 
 
+def _handed(t: Tensor, factors: Sequence[Factor], gathered: bool) -> list[Factor]:
+    return [(f.to_numpy() if isinstance(f, Tensor) else f) if gathered else _tensor(t, f) for f in factors]
+
+
+def initialize_cp(t: Tensor, rank: int, seed: int = 0, gathered: bool = True) -> list[Factor]:
+    """Leading eigenvectors of each unfolding; the first mode's are scaled by the roots of their eigenvalues; missing columns are drawn.
+    Arrays, or, not ``gathered``, tensors: then long ones never reach the driver."""
+    return _handed(t, _initial(t, rank, seed), gathered)
+
+
 def _times_others(t: Tensor, factors: list[np.ndarray], mode: int) -> np.ndarray:
     """The unfolding of one mode times the Khatri-Rao product of the other factors: a chain of joins, each factor broadcast."""
     letters = LETTERS[: t.rank]
@@ -128,44 +207,48 @@ def tucker_reconstruct(core: Tensor, factors: Sequence[Tensor]) -> Tensor:
     return now
 
 
-def initialize_tucker(t: Tensor, ranks: Sequence[int]) -> list[np.ndarray]:
-    """Leading left singular vectors of each unfolding."""
+def _initial_tucker(t: Tensor, ranks: Sequence[int]) -> list[Factor]:
     if len(ranks) != t.rank:
         raise RankError(f"{len(ranks)} ranks for rank {t.rank}")
     return [_leading(unfold(t, k), r)[1] for k, r in enumerate(ranks)]
 
 
-def _project(t: Tensor, factors: Sequence[np.ndarray], skip: int = -1) -> Tensor:
+def initialize_tucker(t: Tensor, ranks: Sequence[int], gathered: bool = True) -> list[Factor]:
+    """Leading left singular vectors of each unfolding. Arrays, or, not ``gathered``, tensors: then long ones never reach the driver."""
+    return _handed(t, _initial_tucker(t, ranks), gathered)
+
+
+def _project(t: Tensor, factors: Sequence[Factor], skip: int = -1) -> Tensor:
     now = t
     for k, f in enumerate(factors):
         if k != skip:
             letters = LETTERS[: t.rank]
-            now = einsum(f"{letters},{letters[k]}z->{letters.replace(letters[k], 'z')}", now, Tensor.from_numpy(t.spark, f))
+            now = einsum(f"{letters},{letters[k]}z->{letters.replace(letters[k], 'z')}", now, _tensor(t, f))
     return now
 
 
 def tucker_ho_svd(t: Tensor, ranks: Sequence[int]) -> tuple[Tensor, list[Tensor]]:
     """Core and factors by singular vectors of the unfoldings."""
-    factors = initialize_tucker(t, ranks)
-    return _project(t, factors), [Tensor.from_numpy(t.spark, f) for f in factors]
+    factors = _initial_tucker(t, ranks)
+    return _project(t, factors), [_tensor(t, f) for f in factors]
 
 
 def tucker_ho_oi(t: Tensor, ranks: Sequence[int], n_iter: int = 100, tol: float = 1e-8) -> tuple[Tensor, list[Tensor]]:
     """Core and factors by orthogonal iteration, until neither changes by more than tol."""
     t = t.cache()
-    factors = initialize_tucker(t, ranks)
+    factors = _initial_tucker(t, ranks)
     core = _project(t, factors).to_numpy()
     for _ in range(n_iter):
         new = list(factors)
         for mode in range(t.rank):
             new[mode] = _leading(unfold(_project(t, new, mode), mode), ranks[mode])[1]
         after = _project(t, new).to_numpy()
-        change = max(float(np.sqrt(((a - b) ** 2).mean())) for a, b in zip([after, *new], [core, *factors], strict=True))
+        change = max(rmsd(a, b).item() if isinstance(a, Tensor) else float(np.sqrt(((a - b) ** 2).mean())) for a, b in zip([after, *new], [core, *factors], strict=True))
         factors, core = new, after
         if change < tol:
             break
     t.df.unpersist()
-    return Tensor.from_numpy(t.spark, core), [Tensor.from_numpy(t.spark, f) for f in factors]
+    return Tensor.from_numpy(t.spark, core), [_tensor(t, f) for f in factors]
 
 
 __all__ = ["initialize_cp", "initialize_tucker", "parafac", "parafac_reconstruct", "rmsd", "tucker_ho_oi", "tucker_ho_svd", "tucker_reconstruct", "weight_tensor", "weighted_parafac"]

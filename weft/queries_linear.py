@@ -216,14 +216,14 @@ def block_geev(s, d):
 
 @query(f"SELECT 'first' AS name, i AS i0, 0::BIGINT AS i1, round(m * tm * sqrt(h), 6) + 0.0 AS v FROM {_LEFT}, {_TURN}, {_EIGEN} UNION ALL {_cells(_EIGEN, 1, 6, {(0, 0): 'p', (1, 0): 'q'}, 'second')}")
 def initialize_cp(s, d):
-    first, second = decomposition.initialize_cp(_columns(s, d, 2), 1)
-    return _rounded(_named(first=Tensor.from_numpy(s, first), second=Tensor.from_numpy(s, second)))
+    first, second = decomposition.initialize_cp(_columns(s, d, 2), 1, gathered=False)
+    return _rounded(_named(first=first, second=second))
 
 
 @query(f"SELECT 'first' AS name, i AS i0, 0::BIGINT AS i1, round(m * tm, 6) + 0.0 AS v FROM {_LEFT}, {_TURN} UNION ALL {_cells(_EIGEN, 1, 6, {(0, 0): 'p', (1, 0): 'q'}, 'second')}")
 def initialize_tucker(s, d):
-    first, second = decomposition.initialize_tucker(_columns(s, d, 2), (1, 1))
-    return _rounded(_named(first=Tensor.from_numpy(s, first), second=Tensor.from_numpy(s, second)))
+    first, second = decomposition.initialize_tucker(_columns(s, d, 2), (1, 1), gathered=False)
+    return _rounded(_named(first=first, second=second))
 
 
 _OUTER = f"SELECT a.i AS i0, b.j AS i1, CAST(r_regionkey AS BIGINT) AS i2, round(a.v * b.v * (r_regionkey + 1) / 1000, 3) + 0.0 AS v FROM (SELECT i, sum(v) / 1000 AS v FROM {A} GROUP BY 1) a, (SELECT j, sum(v) / 1000 AS v FROM {W} GROUP BY 1) b, region"
