@@ -137,6 +137,25 @@ def test_parafac_of_a_long_first_index(spark, monkeypatch):
     assert np.allclose(np.einsum("iz,jz,kz->ijk", *factors), x)
 
 
+def _far(t, step):
+    """The first index's numbers as far apart as keys of a table can be."""
+    return t.with_rows(t.df.withColumn("i0", t.df.i0 * step), (t.dims[0] * step, *t.dims[1:]))
+
+
+def _near(t, step):
+    return t.with_rows(t.df.selectExpr(f"i0 div {step} AS i0", *t.columns[1:], "v"), (t.dims[0] // step, *t.dims[1:])).to_numpy()
+
+
+@pytest.mark.parametrize("rank", [1, 2])
+def test_parafac_of_far_keys(spark, rank):
+    x, step = np.einsum("iz,jz,kz->ijk", _draw(45, rank), _draw(3, rank), _draw(2, rank)), 10**10
+    t = tensor(spark, x)
+    first, *rest = decomposition.parafac(_far(t, step), rank, 3)
+    assert first.dims == (45 * step, rank)
+    expected = decomposition.parafac_reconstruct(decomposition.parafac(t, rank, 3)).to_numpy()
+    assert np.allclose(np.einsum("iz,jz,kz->ijk", _near(first, step), *(f.to_numpy() for f in rest)), expected, atol=1e-6)
+
+
 def test_weighted_parafac_of_a_long_first_index(spark, monkeypatch):
     a, b, c = _product_of_three()
     x = np.einsum("i,j,k->ijk", a, b, c)

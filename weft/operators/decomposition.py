@@ -140,39 +140,46 @@ def initialize_cp(t: Tensor, rank: int, seed: int = 0, gathered: bool = True) ->
     return _handed(t, _initial(t, rank, seed), gathered)
 
 
-def _times_others(t: Tensor, factors: list[np.ndarray], mode: int) -> np.ndarray:
-    """The unfolding of one mode times the Khatri-Rao product of the other factors: a chain of joins, each factor broadcast."""
-    letters = LETTERS[: t.rank]
-    others = [k for k in range(t.rank) if k != mode]
-    now = einsum(f"{letters},{letters[others[0]]}z->{letters.replace(letters[others[0]], '')}z", t, Tensor.from_numpy(t.spark, factors[others[0]]))
-    left = letters.replace(letters[others[0]], "")
-    for k in others[1:]:
-        rest = left.replace(letters[k], "")
-        now = einsum(f"{left}z,{letters[k]}z->{rest}z", now, Tensor.from_numpy(t.spark, factors[k]))
+def _times_others(t: Tensor, factors: list[Factor], mode: int) -> Tensor:
+    """The unfolding of one mode times the Khatri-Rao product of the other factors: a chain of joins, short factors first and broadcast."""
+    left = LETTERS[: t.rank]
+    now = t
+    for n, k in enumerate(sorted((k for k in range(t.rank) if k != mode), key=lambda k: isinstance(factors[k], Tensor))):
+        rest = left.replace(LETTERS[k], "")
+        now = einsum(f"{left}{'z' if n else ''},{LETTERS[k]}z->{rest}z", now, _tensor(t, factors[k]))
         left = rest
-    return now.to_numpy()
+    return now
+
+
+def _own(f: Factor) -> np.ndarray:
+    return einsum("az,ay->zy", f, f).to_numpy() if isinstance(f, Tensor) else f.T @ f
 
 
-def _als(t: Tensor, rank: int, n_iter: int, tol: float, seed: int) -> list[np.ndarray]:
+def _als(t: Tensor, rank: int, n_iter: int, tol: float, seed: int) -> list[Factor]:
     if rank < 1 or t.rank < 2:
         raise BadLogic("a rank of one at least, a tensor of two indices at least")
     t = t.cache()
     size = float(np.sqrt(einsum(f"{LETTERS[: t.rank]},{LETTERS[: t.rank]}->", t, t).item()))
-    factors = initialize_cp(t, rank, seed)
+    factors = _initial(t, rank, seed)
+    squares, paths = [_own(f) for f in factors], {}
     error, before = 0.0, np.inf
     for step in range(n_iter):
         for mode in range(t.rank):
             m = _times_others(t, factors, mode)
-            v = np.ones((rank, rank))
-            for k, f in enumerate(factors):
-                if k != mode:
-                    v *= f.T @ f
-            factors[mode] = np.linalg.lstsq(v, m.T, rcond=None)[0].T
-        # |t - x|^2 = |t|^2 - 2 <t, x> + |x|^2, the inner product from the last mode's matrix
-        inner = float((m * factors[-1]).sum())
-        own = np.ones((rank, rank))
-        for f in factors:
-            own *= f.T @ f
+            v = np.prod([x for k, x in enumerate(squares) if k != mode], axis=0)
+            if isinstance(factors[mode], Tensor):
+                inverse = np.linalg.pinv(v, rcond=rank * np.finfo(float).eps)
+                factors[mode], path = _kept(einsum("az,zy->ay", m, Tensor.from_numpy(t.spark, inverse)))
+                if mode in paths:
+                    forget(t.spark, paths[mode])
+                paths[mode] = path
+            else:
+                m = m.to_numpy()
+                factors[mode] = np.linalg.lstsq(v, m.T, rcond=None)[0].T
+            squares[mode] = _own(factors[mode])
+        # |t - x|^2 = |t|^2 - 2 <t, x> + |x|^2, the inner product from the last mode's matrix, which is its factor times v
+        inner = float((squares[-1] * v).sum() if isinstance(m, Tensor) else (m * factors[-1]).sum())
+        own = np.prod(squares, axis=0)
         error = float(np.sqrt(max(size**2 - 2 * inner + own.sum(), 0.0))) / (size or 1.0)
         if step >= 1 and abs(before - error) < tol:
             break
@@ -183,7 +190,7 @@ def _als(t: Tensor, rank: int, n_iter: int, tol: float, seed: int) -> list[np.nd
 
 def parafac(t: Tensor, rank: int, n_iter: int = 100, tol: float = 1e-8, seed: int = 0) -> list[Tensor]:
     """Factors, one matrix per index, by alternating least squares; they are not normalised."""
-    return [Tensor.from_numpy(t.spark, f) for f in _als(t, rank, n_iter, tol, seed)]
+    return [_tensor(t, f) for f in _als(t, rank, n_iter, tol, seed)]
 
 
 def weighted_parafac(t: Tensor, w: Tensor, rank: int, n_iter: int = 100, tol: float = 1e-8, seed: int = 0) -> list[Tensor]:
@@ -193,7 +200,7 @@ def weighted_parafac(t: Tensor, w: Tensor, rank: int, n_iter: int = 100, tol: fl
     if (weights <= 0).any():
         raise BadLogic("weights are positive")
     root = Tensor.from_numpy(t.spark, np.sqrt(weights))
-    factors = _als(weight(t, root), rank, n_iter, tol, seed)
+    factors = _handed(t, _als(weight(t, root), rank, n_iter, tol, seed), True)
     factors[0] = factors[0] / np.sqrt(weights)[:, None]
     return [Tensor.from_numpy(t.spark, f) for f in factors]
 
