@@ -165,6 +165,17 @@ def test_weighted_parafac_of_a_long_first_index(spark, monkeypatch):
     assert np.allclose(np.einsum("iz,jz,kz->ijk", *factors), x)
 
 
+def test_weighted_parafac_of_far_keys(spark):
+    step = 10**10
+    t, w = tensor(spark, np.einsum("i,j,k->ijk", *_product_of_three())), tensor(spark, np.arange(1.0, 46.0))
+    first, *rest = decomposition.weighted_parafac(_far(t, step), _far(w, step), 1, 3)
+    assert first.dims == (45 * step, 1)
+    assert np.allclose(np.einsum("iz,jz,kz->ijk", _near(first, step), *(f.to_numpy() for f in rest)), t.to_numpy())
+    for bad in (w.with_rows(w.df.where("i0 > 0")), w - 1.0):
+        with pytest.raises(BadLogic):
+            decomposition.weighted_parafac(_far(t, step), _far(bad, step), 1, 3)
+
+
 def test_equations_with_dependent_eigenvectors(spark):
     x = np.array([[2.0, 1, 0], [0, 2, 1], [0, 0, 2]])
     a, c = tensor(spark, x), _draw(3, 3)

@@ -194,15 +194,28 @@ def parafac(t: Tensor, rank: int, n_iter: int = 100, tol: float = 1e-8, seed: in
 
 
 def weighted_parafac(t: Tensor, w: Tensor, rank: int, n_iter: int = 100, tol: float = 1e-8, seed: int = 0) -> list[Tensor]:
-    """Least squares with weights along the first index: the weighted tensor is decomposed and its first factor unscaled."""
+    """Least squares with weights along the first index: the weighted tensor is decomposed and its first factor unscaled.
+
+    Weights are positive. Where there are too many for the driver, an index at which the tensor has no rows may go without one.
+    """
     require(w, 1)
-    weights = w.to_numpy()
-    if (weights <= 0).any():
-        raise BadLogic("weights are positive")
-    root = Tensor.from_numpy(t.spark, np.sqrt(weights))
-    factors = _handed(t, _als(weight(t, root), rank, n_iter, tol, seed), True)
-    factors[0] = factors[0] / np.sqrt(weights)[:, None]
-    return [Tensor.from_numpy(t.spark, f) for f in factors]
+    if w.size * rank <= FACTOR_CELLS:
+        weights = w.to_numpy()
+        if (weights <= 0).any():
+            raise BadLogic("weights are positive")
+        root = Tensor.from_numpy(t.spark, np.sqrt(weights))
+    else:
+        bad = w.df.where((F.col("v") <= 0) | F.col("v").isNull())
+        if not bad.isEmpty() or not t.df.select("i0").distinct().join(w.df.select("i0"), "i0", "left_anti").isEmpty():
+            raise BadLogic("weights are positive")
+        root = w.cast("float64").map_values(F.sqrt)
+    first, *rest = _als(weight(t, root), rank, n_iter, tol, seed)
+    if isinstance(first, Tensor):
+        first = einsum("az,a->az", first, root.map_values(lambda v: 1 / v))
+    else:
+        scale = root.to_numpy()
+        first = first / np.where(scale == 0, 1, scale)[:, None]
+    return [_tensor(t, f) for f in (first, *rest)]
 
 
 def tucker_reconstruct(core: Tensor, factors: Sequence[Tensor]) -> Tensor:

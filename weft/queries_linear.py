@@ -246,8 +246,15 @@ def parafac(s, d):
 
 @query(f"SELECT * FROM ({_OUTER}) WHERE v <> 0")
 def weighted_parafac(s, d):
+    """Weights of 1.0 and up by the supplier's number."""
     t = _outer(s, d)
-    return _close(decomposition.parafac_reconstruct(decomposition.weighted_parafac(t, g.arange(s, 1.0, 1.0 + t.dims[0]), 1, 3)))
+    if t.dims[0] <= decomposition.FACTOR_CELLS:
+        weights = g.arange(s, 1.0, 1.0 + t.dims[0])
+    else:
+        # the same ones, of the suppliers that occur: numbers can be much fewer than the largest of them
+        rows = src.table(s, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("i0")).distinct()
+        weights = Tensor(rows.select("i0", (F.col("i0") + 1.0).alias("v")), t.dims[:1])
+    return _close(decomposition.parafac_reconstruct(decomposition.weighted_parafac(t, weights, 1, 3)))
 
 
 _CUBE = "SELECT l_orderkey % 8 AS i0, CAST(l_linenumber AS BIGINT) AS i1, l_suppkey % 4 AS i2, round(sum(l_quantity), 3) + 0.0 AS v FROM lineitem GROUP BY 1, 2, 3"
